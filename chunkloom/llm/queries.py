@@ -7,13 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import mixing, quality, sharding
+from chunkloom.llm import bpe, language, mixing, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language.identify(_documents(spark, sf_dir))
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's tokens and of the text decoded from them."""
+    out = bpe.encode(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document through a digest cache that starts empty."""
+    return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document by a Feistel permutation of its row number."""
     return sharding.shard_documents(_documents(spark, sf_dir))
@@ -32,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op7_sharding, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_language, op3_bpe, op6_token_counts, op7_sharding, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
