@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, language, mixing, quality, sharding, token_counts
+from chunkloom.llm import bpe, language, mixing, ngram_join, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.near_duplicates(_documents(spark, sf_dir), width=3, similarity=(90, 100))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, votes and verdict for every document."""
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -55,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op2_language, op3_bpe, op6_token_counts, op7_sharding, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_language, op3_bpe, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
