@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, language, lm, mixing, ngram_join, quality, sharding, token_counts
+from chunkloom.llm import bpe, fingerprints, language, lm, mixing, ngram_join, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and of its edited text, and how alike they are."""
+    return fingerprints.compare_with_next(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document through a digest cache that starts empty."""
     return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
@@ -65,7 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op2_language, op3_bpe, op4_lm_scoring, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op2_language, op3_bpe, op4_lm_scoring, op5_fingerprints, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
