@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, fingerprints, language, lm, mixing, ngram_join, quality, sharding, token_counts
+from chunkloom.llm import bpe, fingerprints, language, lm, mixing, ngram_join, pii, quality, sharding, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: exact matches and what weak supervision adds."""
+    return pii.find(_documents(spark, sf_dir))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language.identify(_documents(spark, sf_dir))
@@ -70,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op2_language, op3_bpe, op4_lm_scoring, op5_fingerprints, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_bpe, op4_lm_scoring, op5_fingerprints, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
