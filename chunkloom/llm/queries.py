@@ -14,7 +14,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
 
@@ -33,7 +33,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's tokens and of the text decoded from them."""
-    out = bpe.encode(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), keep_ids=False)
+    out = bpe.encode(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), keep_ids=False)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
@@ -49,7 +49,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document through a digest cache that starts empty."""
-    return token_counts.count_tokens(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+    return token_counts.count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +73,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.size("ranges").alias("n_ranges"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's last stage over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_pii, op2_language, op3_bpe, op4_lm_scoring, op5_fingerprints, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_pii, op2_language, op3_bpe, op4_lm_scoring, op5_fingerprints, op6_token_counts, op7_sharding, op8_ngram_join, op9_quality_rules, op10_mixing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
