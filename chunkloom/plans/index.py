@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Positions that are looked up by a broadcast, and chunk numbers that are listed one by one; beyond, a plain join and a range.
@@ -158,6 +158,24 @@ class Selection:
             n += 1
         return out.select(*coords, "val")
 
+    def coordinates(self, spark: SparkSession) -> DataFrame:
+        """o0, ... and d0, ... of all selected cells, from one range; meant for selections that are written."""
+        kept = [k for k, a in enumerate(self.axes) if not isinstance(a, Point)]
+        total, rest = 1, F.col("id")
+        for n in self.result_shape:
+            total *= n
+        cols: dict[str, Column] = {}
+        for o, k in reversed(list(enumerate(kept))):
+            a = self.axes[k]
+            cols[f"o{o}"] = (rest % len(a)).cast("long") if len(a) else rest
+            rest = F.call_function("div", rest, F.lit(max(1, len(a))))
+        out = spark.range(total).select(*[cols[f"o{o}"].alias(f"o{o}") for o in range(len(kept))])
+        d = []
+        for k, a in enumerate(self.axes):
+            o = F.col(f"o{kept.index(k)}") if k in kept else None
+            d.append((F.lit(a.at) if o is None else a.start + o * a.step if isinstance(a, Span) else F.element_at(F.lit(list(a.at)), (o + 1).cast("int"))).cast("long").alias(f"d{k}"))
+        return out.select(*[f"o{o}" for o in range(len(kept))], *d)
+
     def whole(self) -> Column:
         """Predicate on chunk columns: chunks all of whose cells are selected."""
         out = [F.lit(not self.empty)]

@@ -61,9 +61,9 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    """orders by customer and month (from 1992): whole cents, so that sums are exact."""
+    """orders by customer and month (from 1995): whole cents, so that sums are exact."""
     o = spark.read.parquet(f"{d}/orders.parquet")
-    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1
+    month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
     return o.groupBy(F.col("o_custkey").alias("d0"), month.cast("long").alias("d1")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("val"))
 
 
@@ -95,7 +95,7 @@ _GROWING = _CHAIN + """, growing AS (SELECT v, event_id // 256 AS c0, count(*) A
   FROM chain JOIN events ON ts <= vts GROUP BY 1, 2)"""
 _USERS = _CHAIN + ", users AS (SELECT v, user_id AS d0, arg_max(value, (ts, event_id)) AS val FROM chain JOIN events ON ts <= vts GROUP BY 1, 2)"
 _MATRIX = "matrix AS (SELECT vec_id AS d0, CAST(unnest(range(len(embedding))) AS BIGINT) AS d1, CAST(unnest(embedding) AS DOUBLE) AS val FROM embeddings)"
-_SPARSE = "sparse AS (SELECT o_custkey AS d0, CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS BIGINT) AS d1, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS val FROM orders GROUP BY 1, 2)"
+_SPARSE = "sparse AS (SELECT o_custkey AS d0, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS BIGINT) AS d1, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS val FROM orders GROUP BY 1, 2)"
 _MID = "(SELECT min(ts) + INTERVAL 15 DAY FROM events)"
 
 
