@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -38,14 +39,29 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     if not _ours:
         atexit.register(_tidy)
     _ours.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, and let Spark delete shuffle files that no frame refers to.
+
+    Spark finds those when the driver's JVM collects garbage, which a driver with little to do may not need for long.
+    """
+    for table in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(table._settled_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _ours.discard(table._settled_at)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _tidy() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
     try:
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            return
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _ours:
             where = jvm.org.apache.hadoop.fs.Path(path)
