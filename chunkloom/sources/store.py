@@ -466,10 +466,18 @@ class Stage:
     def _rows(self, path: str, only) -> DataFrame:
         """Chunk rows as they are now: staged ones, and the others from the parent."""
         rows, all_ = self.staged.get(path, (None, False))
+        base = self._committed(path).chunk_rows(only & self._visible(path))
         if rows is None:
-            return self._committed(path).chunk_rows(only)
-        mine = rows.where(only)
-        return mine if all_ else mine.unionByName(self._committed(path).chunk_rows(only).join(rows.select(*C.names("c", len(self.entries[path]["shape"]))), C.names("c", len(self.entries[path]["shape"])), "left_anti"))
+            return base
+        mine, c = rows.where(only), C.names("c", len(self.entries[path]["shape"]))
+        return mine if all_ else mine.unionByName(base.join(rows.select(*c), c, "left_anti"))
+
+    def _visible(self, path: str):
+        """Predicate on the parent's chunks: those that no resize since has cut off."""
+        out = F.lit(True)
+        for k, n in enumerate(self.entries[path].get("least", [])):
+            out = out & (F.col(f"c{k}") * self.meta["datasets"][path]["chunks"][k] < n)
+        return out
 
     def __setitem__(self, key: tuple[str, Any], value: Any) -> None:
         """stage[path, index] = a value, or a frame o0, ..., val over the selection. Only chunks it touches are rewritten."""
@@ -514,7 +522,7 @@ class Stage:
         rows = self._rows(path, within & edge)
         had, all_ = self.staged.get(path, (None, False))
         entry["shape"] = list(shape)
-        entry["cut"] = True
+        entry["least"] = [min(x, y) for x, y in zip(entry.get("least", old), shape, strict=True)]
         if had is not None:
             self.staged[path] = (had.where(within), all_)
         self._stage(path, C.chunk_cells(mutate.resize(C.assemble(rows, chunks), shape), shape, chunks, spec["fill"], keep_fill=True))
@@ -534,14 +542,11 @@ class Stage:
             c = C.names("c", n)
             kept = None
             if not all_ and entry["manifest"]:
-                within = F.lit(True)
-                for k in range(n):
-                    within = within & (F.col(f"c{k}") * spec["chunks"][k] < entry["shape"][k])
-                kept = self._committed(path).manifest().where(within).join(rows.select(*c), c, "left_anti").select(*c, "extent", "chunk_hash")
+                kept = self._committed(path).manifest().where(self._visible(path)).join(rows.select(*c), c, "left_anti").select(*c, "extent", "chunk_hash")
             full = rows if entry.pop("keep_fill", False) else rows.where(F.exists("cells", lambda x: ~x.eqNullSafe(F.lit(spec["fill"]).cast(spec["dtype"]))))
             entry["manifest"] = _store_chunks(self.store, self.meta, path, full, n, kept)
         for entry in self.entries.values():
-            entry.pop("cut", None)
+            entry.pop("least", None)
             entry.pop("keep_fill", None)
         seq = self.meta["seq"] + 1
         self.meta["versions"][self.name] = {"prev": self.prev, "ts": at.isoformat(), "seq": seq, "datasets": self.entries}
