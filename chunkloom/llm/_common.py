@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _ours.discard(table._settled_at)
     gc.collect()
+    time.sleep(1.5)  # frames that Python let go are let go in the JVM by a thread that looks once a second
     spark._jvm.System.gc()
 
 

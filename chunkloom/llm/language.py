@@ -167,6 +167,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     return judged.select(*[F.col(f"`{c}`") for c in keep], "_judged.lang_pred", "_judged.score")
 
 
+def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """Rows whose text is in one of the model's languages, with at least this posterior probability; all columns as they are."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(text):
+        import pandas as pd
+
+        scorer = _scorer(told)
+        return pd.Series([lang != "und" and score >= least for lang, score in (scorer.predict(t or "") for t in text)], dtype=bool)
+
+    return docs.where(known(F.col(f"`{text_col}`").cast("string")))
+
+
 _scorers: dict[str, Scorer] = {}
 
 

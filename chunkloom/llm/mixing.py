@@ -136,7 +136,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     blocks = {i: [max(1, -(-z // block_words)) if z else 0 for _, z in sorted(x)] for i, x in by_shard.items()}
     seats = apportion(wanted, round(sum(wanted) / block_words), [int(most * sum(blocks.get(i, []))) for i in range(len(names))])
     units, keys = {}, []
-    for i, x in by_shard.items():
+    for i, x in sorted(by_shard.items()):
         quota = apportion([float(z) for _, z in sorted(x)], seats[i], [int(most * b) for b in blocks[i]])
         for (shard, z), b, q in zip(sorted(x), blocks[i], quota, strict=True):
             units[len(keys)] = (z, b, q)

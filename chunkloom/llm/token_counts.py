@@ -75,12 +75,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str | None = None,
     def count(parts):
         import pyarrow as pa
 
-        counts = _counter(kind, file.value)
+        counts, met = _counter(kind, file.value), set()
         for part in parts:
+            content = part.column("content").to_pylist()
+            fresh = [i for i, c in enumerate(content) if c not in met and not met.add(c)]  # an id may repeat with its text
+            part = part.take(pa.array(fresh, pa.int64()))
             n = [c for _, texts in batches(part.column("text")) for c in counts(texts)]
             yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(n, pa.int64())], ["content", "n_tokens"])
 
-    texts.mapInArrow(count, "content binary, n_tokens long").withColumn("tokenizer", F.lit(ours)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    texts.mapInArrow(count, "content binary, n_tokens long").dropDuplicates(["content"]).withColumn("tokenizer", F.lit(ours)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     spark.catalog.refreshByPath(cache_path)
     now = spark.read.schema(SCHEMA).parquet(cache_path).where(F.col("tokenizer") == ours)
     counts = now.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # a content may be stored twice, never with two counts
