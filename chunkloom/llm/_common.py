@@ -107,6 +107,20 @@ def numbered(df: DataFrame, order: list[str], tag: str) -> tuple[DataFrame, int]
     return joined.withColumn("row_number", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start"), start
 
 
+_held: dict = {}
+
+
+def held_by_worker(key, make):
+    """What a Python worker keeps from task to task, made at first use. One thing at a time: another key replaces it.
+
+    Workers go on from one operator to the next, and the tables that they look things up in would add up otherwise.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def batches(column, most_chars: int = 2_000_000):
     """Slices of an Arrow string column, as (offset, list of str), of about so many characters or one long text."""
     values, begin, n = column, 0, len(column)

@@ -20,12 +20,13 @@ import json
 import sys
 from array import array
 from functools import cache
+from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import batches
+from chunkloom.llm._common import batches, held_by_worker
 
 #: White space of Unicode, fixed; some regex libraries also count U+001C to U+001F.
 SPACE = "\\t\\n\\x0b\\x0c\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -144,7 +145,7 @@ def packed(ids: list[int]) -> bytes:
 class Encoder:
     """Whole texts to tokens. Parts of texts are kept with their tokens, up to `most` of them, to be looked up again."""
 
-    def __init__(self, automaton: Automaton, most: int = 900_000):
+    def __init__(self, automaton: Automaton, most: int = 600_000):
         import re
 
         import regex
@@ -181,9 +182,8 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, self.part.findall(text)))
 
 
-@cache
 def _encoder(file: bytes) -> Encoder:
-    return Encoder(Automaton.compile(file))
+    return held_by_worker(("bpe", sha256(file).digest()), lambda: Encoder(Automaton.compile(file)))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -199,8 +199,6 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     schema = "doc_id long, " + ("ids array<int>, " if keep_ids else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean"
 
     def work(parts):
-        from hashlib import sha256
-
         import pyarrow as pa
 
         encoder = _encoder(file.value)

@@ -12,32 +12,23 @@ import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import batches, held_out, settle
+from chunkloom.llm._common import batches, held_by_worker, held_out, settle
 
 LONGEST = 4
 #: Kept are words and n-grams with at least this share of a language's; so there are at most as many as its inverse.
 WORD_SHARE, GRAM_SHARE = 1 / 50_000, 1 / 20_000
 #: Cost, in powers of ten, of a word or n-gram that a language lacks but another has.
 ABSENT = 7.0
-#: Words a worker remembers besides the model's.
-REMEMBERED = 200_000
+#: Pieces of text that a worker remembers.
+REMEMBERED = 300_000
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
-
-
-def _word_pattern():
-    import regex
-
-    return regex.compile(r"\p{L}[\p{L}\p{M}]*")
-
-
-_WORD = _word_pattern()
+#: A word: a run of letters and the marks on them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -46,64 +37,70 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Languages, words and n-grams with their costs by language, and the texts' scores."""
+    """Languages, words and n-grams with their costs by language, and the costs of words that it lacks."""
 
     def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         """rows: language, n (0: whole words), the word or n-gram, its count. totals: counts of all, kept or not."""
         self.name = uuid.uuid4().hex
         self.languages = sorted({lang for lang, _ in totals})
         number = {x: i for i, x in enumerate(self.languages)}
-        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        costs: list[np.ndarray] = []
+        tables: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
         for lang, n, gram, c in rows:
-            at = self.tables[n].setdefault(gram, len(costs))
-            if at == len(costs):
-                costs.append(np.full(len(self.languages), ABSENT))
-            costs[at][number[lang]] = min(ABSENT, -math.log10(c / totals[lang, n]))
-        costs.append(np.full(len(self.languages), ABSENT))  # of a word that tells nothing
-        self.costs = np.array(costs).reshape(len(costs), len(self.languages))
-
-    def cost(self, word: str) -> np.ndarray:
-        """Of a word that isn't in the model."""
+            costs = tables[n].setdefault(gram, [ABSENT] * len(self.languages))
+            costs[number[lang]] = min(ABSENT, -math.log10(c / totals[lang, n]))
+        self.words, self.grams = tables[0], tables[1:]
+
+    def cost(self, word: str) -> list[float]:
+        """By language: of the word, or else the mean over its longest n-grams that are known, or else nothing known."""
+        if (found := self.words.get(word)) is not None:
+            return found
         for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            found = [table[g] for g in grams_of(word, n) if g in table]
-            if found:
-                return self.costs[found].mean(axis=0)
-        return self.costs[-1]
+            table = self.grams[n - 1]
+            rows = [table[g] for g in grams_of(word, n) if g in table]
+            if rows:
+                return [sum(x) / len(rows) for x in zip(*rows, strict=True)]
+        return [ABSENT] * len(self.languages)
 
 
 class Scorer:
-    """A model with the words that a worker has met."""
+    """A model with the pieces of text between white space that a worker has met, up to REMEMBERED of them."""
 
     def __init__(self, model: Model):
         self.model = model
+        wide = len(model.languages) + 1  # the last column counts words
+        self.costs, self.used, self.rest = np.zeros((10_000, wide)), 1, np.zeros(wide)  # row 0 is of pieces scored aside
         outer = self
 
         class Known(dict):
-            def __missing__(self, word: str) -> int:
-                at = self[word] = outer.used
-                if at == len(outer.costs):
-                    outer.costs = np.concatenate([outer.costs, np.empty((len(outer.costs) // 2 + 1000, outer.costs.shape[1]))])
-                outer.costs[at] = outer.model.cost(word)
+            def __missing__(self, piece: str) -> int:
+                row = outer.row(piece)
+                if outer.used > REMEMBERED:
+                    outer.rest += row
+                    return 0
+                if outer.used == len(outer.costs):
+                    outer.costs = np.concatenate([outer.costs, np.zeros_like(outer.costs)])
+                outer.costs[outer.used] = row
+                self[piece] = outer.used
                 outer.used += 1
-                return at
+                return outer.used - 1
 
-        self.kind = Known
-        self.forget()
+        self.known = Known()
 
-    def forget(self) -> None:
-        self.known, self.costs, self.used = self.kind(self.model.tables[0]), self.model.costs, len(self.model.costs)
+    def row(self, piece: str) -> list[float]:
+        words = _WORD.findall(piece)
+        rows = [self.model.cost(w) for w in words]
+        return [*(sum(x) for x in zip(*rows, strict=True)), len(words)] if rows else [0.0] * (len(self.model.languages) + 1)
 
     def predict(self, text: str) -> tuple[str, float]:
         """The language and its posterior probability, taking languages as equally likely and words as independent."""
-        words = words_of(text)
-        if not words or not self.model.languages:
+        if not self.model.languages:
+            return "und", 0.0
+        self.rest = np.zeros(len(self.model.languages) + 1)
+        at = list(map(self.known.__getitem__, text.lower().split()))  # may put another array in place of costs
+        total = self.costs[at].sum(axis=0) + self.rest
+        if not total[-1]:
             return "und", 0.0
-        if self.used > len(self.model.costs) + REMEMBERED:
-            self.forget()
-        at = list(map(self.known.__getitem__, words))
-        total = self.costs[at].sum(axis=0)
+        total = total[:-1]
         best = int(total.argmin())
         return self.model.languages[best], float(1 / np.exp(np.minimum(700, (total - total[best]) * math.log(10)) * -1).sum())
 
@@ -118,7 +115,11 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
         kept: defaultdict[str, Counter] = defaultdict(Counter)
 
         def out():
-            for lang, words in kept.items():
+            for lang, pieces in kept.items():
+                words: Counter = Counter()
+                for piece, c in pieces.items():
+                    for w in _WORD.findall(piece):
+                        words[w] += c
                 for n in range(LONGEST + 1):
                     if n:
                         grams: Counter = Counter()
@@ -133,7 +134,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
         for part in parts:
             for begin, texts in batches(part.column("text")):
                 for lang, text in zip(part.column("lang").slice(begin, len(texts)).to_pylist(), texts, strict=True):
-                    kept[lang].update(words_of(text))
+                    kept[lang].update(text.lower().split())  # no word holds white space
                 if sum(map(len, kept.values())) > 300_000:
                     yield from out()
         yield from out()
@@ -181,15 +182,8 @@ def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "tex
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(told) -> Scorer:
-    model = told.value
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    return held_by_worker(told.value.name, lambda: Scorer(told.value))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import batches, held_out, settle
+from chunkloom.llm._common import batches, held_by_worker, held_out, settle
 
 #: Words of the model besides the end and the class of others; size of the vectors; noise samples a word (expected).
 WORDS, DIMENSIONS, NOISE = 510, 32, 10
@@ -144,15 +144,8 @@ class _Scorer:
         return self
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def _ready(told) -> _Scorer:
-    x = told.value
-    if x.name not in _scorers:
-        _scorers.clear()
-        _scorers[x.name] = x.ready()
-    return _scorers[x.name]
+    return held_by_worker(told.value.name, lambda: told.value.ready())
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import os
 import uuid
-from functools import cache
 from hashlib import sha256
 from importlib.metadata import version
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import batches, settle, shared_dir
+from chunkloom.llm._common import batches, held_by_worker, settle, shared_dir
 
 SCHEMA = "content binary, n_tokens long, tokenizer string"
 
@@ -34,8 +33,11 @@ def tokenizer_digest(path: str) -> str:
         return sha256(b"\0".join([f.read(), library(path).encode(), version(library(path)).encode(), b"plain text, no added tokens"])).hexdigest()
 
 
-@cache
 def _counter(kind: str, file: bytes):
+    return held_by_worker(("counter", kind, sha256(file).digest()), lambda: _made(kind, file))
+
+
+def _made(kind: str, file: bytes):
     if kind == "sentencepiece":
         import sentencepiece
 
