@@ -431,3 +431,17 @@ def test_queries_cover_all_operators():
 
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names if n != "pipeline"] == [f"op{i}" for i in range(1, 11)] and "pipeline" in names
+
+
+def test_sql_gives_the_same_rows(spark, data):
+    import duckdb
+
+    from chunkloom.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        mine, theirs = queries.queries()[name](spark, data).toPandas(), con.sql(sql).df()
+        columns = sorted(mine.columns)
+        assert sorted(theirs.columns) == columns
+        assert sorted(mine[columns].itertuples(index=False, name=None)) == sorted(theirs[columns].itertuples(index=False, name=None))
