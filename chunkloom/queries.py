@@ -225,6 +225,14 @@ def idx_mask(spark: SparkSession, d: str) -> DataFrame:
     return select.masked(_series(spark, d), e.select(F.col("event_id").alias("d0"), (F.col("event_type") == "click").alias("on")))
 
 
+@query("SELECT event_id - 50 AS o0, event_type, value FROM events WHERE event_id BETWEEN 50 AND 149")
+def idx_field(spark: SparkSession, d: str) -> DataFrame:
+    """Two fields of a slice of an array of records."""
+    e = _events(spark, d)
+    records = e.select(F.col("event_id").alias("d0"), F.struct("user_id", "event_type", "value").alias("val"))
+    return compile_index(slice(50, 150), (_length(records),)).select(records).select("o0", "val.event_type", "val.value")
+
+
 @query(f"WITH {_MATRIX} SELECT a.o AS o0, b.o AS o1, val FROM matrix JOIN (VALUES (0::BIGINT, 9), (1, 2), (2, 9)) a(o, p) ON d0 = a.p JOIN (VALUES (0::BIGINT, 1), (1, 40)) b(o, p) ON d1 = b.p")
 def idx_product(spark: SparkSession, d: str) -> DataFrame:
     """Lists on both axes, as a product."""
@@ -260,6 +268,31 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(f"WITH {_CHAIN} SELECT CAST(v AS VARCHAR) AS v, max(event_id) + 1 AS length, (max(event_id) + 256) // 256 AS chunks, (max(event_id) + 1) * 8 AS bytes FROM chain JOIN events ON ts <= vts GROUP BY 1")
+def version_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Length, number of chunks and bytes of the growing array in every version; a running maximum over days."""
+    from pyspark.sql.window import Window
+
+    days = _events(spark, d).groupBy(F.to_date("ts").alias("v")).agg(F.max("event_id").alias("last"))
+    n = F.max("last").over(Window.orderBy("v")) + 1
+    return days.select(F.col("v").cast("string").alias("v"), n.alias("length"), scalars.ceil_div(n, F.lit(CHUNK)).cast("long").alias("chunks"), (n * 8).alias("bytes"))
+
+
+@query(f"WITH {_CHAIN}, n AS (SELECT v, user_id, count(*) FILTER (ts <= vts) AS n FROM chain CROSS JOIN events WHERE day(v) <= 2 GROUP BY 1, 2) SELECT user_id, bool_and(n = 0) AS empty FROM n GROUP BY 1")
+def empty_datasets(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose array has no cell in any version of the first two days of a month: by their first event."""
+    chain = _chain(spark, d).where(F.dayofmonth("v") <= 2).agg(F.max("vts").alias("until"))
+    firsts = _events(spark, d).groupBy("user_id").agg(F.min("ts").alias("first"))
+    return firsts.crossJoin(F.broadcast(chain)).select("user_id", F.coalesce(F.col("first") > F.col("until"), F.lit(True)).alias("empty"))
+
+
+@query("SELECT path FROM (SELECT DISTINCT source AS path FROM documents WHERE doc_id % 2 = 0) UNION SELECT DISTINCT lang FROM documents WHERE doc_id % 2 = 1")
+def members_union(spark: SparkSession, d: str) -> DataFrame:
+    """Names of staged and of stored members, each once."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.where("doc_id % 2 = 0").select(F.col("source").alias("path")).union(docs.where("doc_id % 2 = 1").select("lang")).distinct()
+
+
 # --- chunks, digests, deduplication
 
 

@@ -251,6 +251,10 @@ class VersionStore:
         old = self._meta()["datasets"][path]["fill"]
         self.replay(path, lambda cells, _: cells if fill is None else mutate.refill(cells, old, fill).where(~F.col("val").eqNullSafe(F.lit(fill))), chunks, dtype, fill, codec)
 
+    def rebuild(self, path: str) -> None:
+        """Compute all digests of a dataset again from its cells, and store its chunks under them."""
+        self.replay(path, lambda cells, _: cells)
+
     def check(self, path: str) -> DataFrame:
         """Stored chunks whose digest is not that of their cells: stored, found."""
         from chunkloom.operators.history import check_digests
@@ -379,6 +383,15 @@ class Dataset:
         """d0, ..., val of all cells."""
         return C.dense_cells(self.stored(), self.shape, self.fill)
 
+    def load(self) -> DataFrame:
+        """All cells, kept in memory from their first use on."""
+        return self.cells().cache()
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        """A frame for each position of the first axis: o0, ... of the other axes, and val."""
+        for i in range(len(self)):
+            yield self[i]
+
     def __getitem__(self, index: Any) -> DataFrame:
         """o0, ..., val of the selected cells. Only chunks that hold some are read; only selected places are filled."""
         wanted = compile_index(index, self.shape, self.chunks)

@@ -233,3 +233,21 @@ def test_stream_commits(spark, store, tmp_path):
     assert len(store.versions) == 3 and sorted(dense(store[0]["x"])) == [2.0 * i for i in range(30)]
     append_batch(store, "x", spark.range(1).select("id", F.lit(1.0).alias("value")), 0, ["id"], "value")
     assert len(store.versions) == 3  # a batch that was committed is passed over
+
+
+@pytest.mark.parametrize("name", ["small_fraction_changes_sparse", "mostly_appends_dense"])
+def test_workloads(store, name):
+    from chunkloom.plans import workloads
+
+    workloads.run(store, name, 2, chunk=256)
+    mix = workloads.MIXES[name]
+    grown = mix.inserts - mix.deletes + mix.appends
+    assert [store[v][name].shape for v in store.versions] == [(mix.rows + i * grown,) for i in range(3)]
+    assert store[0][name].cells().select("d0").distinct().count() == len(store[0][name])
+
+
+def test_iteration_and_rebuild(store):
+    put(store, "r0", np.arange(6).reshape(2, 3))
+    assert [sorted(r["val"] for r in row.collect()) for row in store[0]["x"]] == [[0, 1, 2], [3, 4, 5]]
+    store.rebuild("x")
+    assert dense(store[0]["x"]) == [[0, 1, 2], [3, 4, 5]] and store[0]["x"].load().count() == 6
