@@ -69,7 +69,7 @@ def differing(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, text_col: str, buckets: int | None = None) -> tuple[DataFrame, Window]:
     """df (id, text) with next_text: the text of the next row by descending id, after the last the first.
 
-    Rows with equal ids follow one another by text; a null id comes last. Rows are dealt out once, by ranges of ids; the
+    Rows with equal ids follow one another by text; a null id comes last (rows without an id share a task). Rows are dealt out once, by ranges of ids; the
     first row of each range is also sent to the range above, whose last row it follows. Only the ranges' borders and
     largest ids reach the driver. Also returns the window, within which rows stay in order, and the column `own` tells
     rows from those copies.

@@ -181,14 +181,14 @@ def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     docs has it, follows the new text. Rows with equal ids are told apart by checksum, so repeated rows stay separate.
     """
     names = docs.columns
-    turn = Window.partitionBy("_id").orderBy("_crc")
+    turn = Window.partitionBy("_id", "_crc").orderBy(F.lit(0))  # rows equal in both are interchangeable
     left = docs.withColumns({"_id": F.col(id_col).cast("long"), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))}).withColumn("_turn", F.row_number().over(turn))
     right = (
         mixed.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "ranges", F.col("size").alias("_size"), "taken")
         .withColumn("_turn", F.row_number().over(turn)).where("taken > 0")
-        .select(F.col("_id").alias("_id2"), F.col("_turn").alias("_turn2"), "_size", F.col("ranges").alias("_ranges"))
+        .select(F.col("_id").alias("_id2"), F.col("_crc").alias("_crc2"), F.col("_turn").alias("_turn2"), "_size", F.col("ranges").alias("_ranges"))
     )
-    both = left.join(right, left["_id"].eqNullSafe(right["_id2"]) & (left["_turn"] == right["_turn2"]))
+    both = left.join(right, left["_id"].eqNullSafe(right["_id2"]) & (left["_crc"] == right["_crc2"]) & (left["_turn"] == right["_turn2"]))
     passes = F.array_distinct(F.transform("_ranges", lambda x: x["pass"]))
     each = both.withColumn("_pass", F.explode(passes)).withColumn("_mine", F.filter("_ranges", lambda x: x["pass"] == F.col("_pass")))
 

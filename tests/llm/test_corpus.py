@@ -325,6 +325,16 @@ def test_signatures_meet():
                     assert np.intersect1d(ngram_join.signatures(a, num, 100), ngram_join.signatures(b, num, 100)).size
 
 
+def test_rows_without_ids(spark):
+    """Near copies of which none has an id still find each other, and stay."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[:-1] + ["y"]), "something else here now"]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(7, " ".join(words[:-1] + ["z"]))], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.near_duplicates(df, 3, (90, 100)).where("n_shingles > 2").collect()} == {7}
+    assert [r["component_id"] for r in ngram_join.near_duplicates(df, 3, (90, 100)).collect()].count(7) == 4
+    assert ngram_join.drop_near_duplicates(df, 3, (90, 100)).count() == 5
+
+
 def test_joined_odd(odd, empty):
     got = by_row(ngram_join.near_duplicates(odd, 3, (90, 100)))
     assert len(got) == len(ODD) and got.count((1, 12, 1)) == 2 and (2, 0, 2) in got and (7, 1, 7) in got
