@@ -303,13 +303,33 @@ def copies(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (1, 50)])
-def test_components_equal_brute_force(spark, width, num):
+@pytest.mark.parametrize(("width", "num", "block"), [(3, 90, 8000), (5, 80, 16), (1, 50, 16)])
+def test_components_equal_brute_force(spark, monkeypatch, width, num, block):
+    """With one block a group, and with many."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
     rows = copies()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(map(tuple, ngram_join.near_duplicates(df, width, (num, 100)).collect())) == components(rows, width, num, 100)
 
 
+def test_links_by_strips(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(ngram_join, "STRIP", 3)
+    base = np.arange(50)
+    lists = [np.unique(np.where(rng.random(50) < 0.1, rng.integers(100, 200, 50), base)) for _ in range(20)]
+    for same in (True, False):
+        sides = np.zeros(20, dtype=int) if same else np.arange(20) % 2
+        found = ngram_join.linked(np.arange(20), sides, lists, 70, 100, same)
+        up = list(range(20))
+        for a, b in found:
+            assert 100 * len(np.intersect1d(lists[a], lists[b])) >= 70 * len(np.union1d(lists[a], lists[b]))
+            up = [up[b] if x == up[a] else x for x in up]
+        for a in range(20):
+            for b in range(20):
+                if (same or sides[a] != sides[b]) and 100 * len(np.intersect1d(lists[a], lists[b])) >= 70 * len(np.union1d(lists[a], lists[b])):
+                    assert up[a] == up[b]
+
+
 def test_signatures_meet():
     """Any two sets that are similar enough share a signature, however their differences lie."""
     rng = np.random.default_rng(2)
