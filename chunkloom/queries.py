@@ -583,27 +583,37 @@ def hash_exact_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, d: str):
+    """All versions of the daily chain. A day whose events lie behind the last is appended; any other is put whole."""
+    import datetime
+
     from chunkloom.sources.store import VersionStore, scratch
 
     store = VersionStore(spark, scratch(spark))
-    chain = [r["v"] for r in _chain(spark, d).orderBy("v").collect()][:3]
     e = _events(spark, d)
-    for v in chain:
-        cells = e.where(F.to_date("ts") <= F.lit(v)).select(F.col("event_id").alias("d0"), F.col("value").alias("val"))
+    days = e.where("ts is not null").groupBy(F.to_date("ts").alias("v")).agg(F.min("event_id").alias("low"), F.max("event_id").alias("high")).orderBy("v").collect()
+    n = 0
+    for v, low, high in days:
+        end = v + datetime.timedelta(days=1)
         with store.stage(str(v)) as s:
-            s.put("series/value", cells, (_length(cells),), chunks=(CHUNK,))
+            if n and low >= n:
+                rows = e.where((F.col("ts") >= F.lit(v)) & (F.col("ts") < F.lit(end))).select((F.col("event_id") - n).alias("d0"), F.col("value").alias("val"))
+                s.append("series/value", rows, high + 1 - n)
+            else:
+                cells = e.where(F.col("ts") < F.lit(end)).select(F.col("event_id").alias("d0"), F.col("value").alias("val"))
+                s.put("series/value", cells, (max(n, high + 1),), chunks=(CHUNK,))
+        n = max(n, high + 1)
     return store
 
 
 @query()
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """A slice of the second of three versions, read back from a store."""
+    """A slice of the version before the newest, of one version a day, read back from a store."""
     return _store(spark, d)[-1]["series/value"][10:300:3]
 
 
 @query()
 def replay_callback(spark: SparkSession, d: str) -> DataFrame:
-    """The newest version after history was replayed with a callback."""
+    """The newest version after the history of all days was replayed with a callback."""
     store = _store(spark, d)
     store.replay("series/value", lambda cells, version: cells.withColumn("val", F.col("val") * 2))
     return store[0]["series/value"].cells()
