@@ -1,11 +1,15 @@
-"""Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
+"""Language-model scoring with log-bilinear models trained by noise-contrastive estimation, in which every training word has vectors.
 
 The model predicts a word from the one before it: score(w | h) = q_w . C r_h + b_w, with word vectors r and q, a
-position matrix C and biases b. Words are the most frequent ones, the text's end, and one class for all others, whose
-members share its probability by their smoothed counts. Counts of words and of word pairs come from the whole training
-corpus; pairs of model words are at most (words + 2) ** 2 numbers, on which the driver trains in numpy, the expectation
-over the noise being taken in full rather than by samples. The same matrices give normalised log-probabilities of all
-words after all words by one product.
+position matrix C and biases b. It is laid out in two levels, so that probabilities are normalised exactly however many
+words there are. The first level predicts the core: the most frequent words, the text's end, and one class for all words
+outside. The second predicts a word w of that class by Bayes from a second model, which predicts the word before:
+P(w | class, h) = U(w) P(h | w) / Z(h), where U are smoothed counts and Z(h) is a sum over all words of the class.
+
+Counts come from the whole training corpus. Pairs within the core train both models on the driver in numpy, the
+expectation over the noise being taken in full rather than by samples. Every word outside, however rare, then gets a
+vector as context and one as target, fitted by tasks to its own pairs with the core; these pairs and vectors stay in
+tables that grow with the corpus. Two words outside the core meet through their vectors and the class of the other.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 
 from chunkloom.llm._common import batches, held_by_worker, held_out, settle
 
-#: Words of the model besides the end and the class of others; size of the vectors; noise samples a word (expected).
+#: Words of the core besides the end and the class of others; size of the vectors; noise samples a word (expected).
 WORDS, DIMENSIONS, NOISE = 510, 32, 10
+#: Weight of the prior on vectors, in tokens, and steps by which a vector outside the core is fitted.
+PRIOR, STEPS = 20.0, 5
 #: Words with at least this share of all tokens travel to every task; so there are at most as many as its inverse.
 SHARE = 1 / 50_000
 LN10 = float(np.log(10))
@@ -35,7 +41,7 @@ def words_of(text: str) -> list[bytes]:
 class LogBilinear:
     """The trained model. Number 0 is the end, 1 the class of other words, then `words` in their order."""
 
-    def __init__(self, words: list[str], pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = 200, prior: float = 20.0, seed: int = 7):
+    def __init__(self, words: list[str], pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = 200, prior: float = PRIOR, seed: int = 7):
         """pairs[h, w]: how often number w follows number h in training texts, where a text starts after an end."""
         self.words = words
         rng = np.random.default_rng(seed)
@@ -123,40 +129,196 @@ def pair_counts(docs: DataFrame, words: list[str], text_col: str = "text") -> np
     return out.reshape(v, v)
 
 
-class _Scorer:
-    """What a task needs: the model's log-probabilities and the frequent words' numbers and costs."""
+class _Names:
+    """What a task needs to number words: 0 the end, 1 words looked up elsewhere, then the frequent ones; and their places in the core."""
 
-    def __init__(self, model: LogBilinear, frequent: dict[str, int], tokens: int, distinct: int, ends: int, other: tuple[int, int]):
-        self.name = uuid.uuid4().hex
-        self.model, self.frequent, self.tokens, self.distinct, self.ends, self.other = model, frequent, tokens, distinct, ends, other
+    def __init__(self, core: list[str], frequent: dict[str, int]):
+        self.name, self.core, self.frequent = uuid.uuid4().hex, core, frequent
+
+    def ready(self):
+        places = {w: i + 2 for i, w in enumerate(self.core)}
+        self.order = sorted(self.frequent)
+        self.entry = {w.encode(): i + 2 for i, w in enumerate(self.order)}
+        self.number = np.array([0, 1, *(places.get(w, 1) for w in self.order)])
+        return self
+
+
+def _ready(told):
+    return held_by_worker(told.value.name, lambda: told.value.ready())
+
+
+def norms(model: LogBilinear, x: np.ndarray) -> np.ndarray:
+    """Log of the sum over all places, for each vector."""
+    out = np.zeros(len(x))
+    for i in range(0, len(x), 2000):
+        score = x[i : i + 2000] @ model.q.T + model.b
+        top = score.max(axis=1)
+        out[i : i + 2000] = top + np.log(np.exp(score - top[:, None]).sum(axis=1, dtype=np.float64))
+    return out
+
+
+def class_pairs(docs: DataFrame, told, text_col: str = "text") -> DataFrame:
+    """word, side, core, c: how often each word outside the core has a place of the core after it (side 0) and before it (1)."""
+
+    def count(parts):
+        import pyarrow as pa
+
+        s = _ready(told)
+        entry, number, kept = s.entry.get, s.number.tolist(), Counter()
+
+        def out():
+            words, sides, cores = zip(*kept, strict=True) if kept else ((), (), ())
+            cols = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(sides, pa.int32()), pa.array(cores, pa.int32()), pa.array(kept.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["word", "side", "core", "c"])
+            kept.clear()
+
+        for part in parts:
+            for _, texts in batches(part.column("text")):
+                for t in texts:
+                    split = words_of(t)
+                    at = [number[entry(w, 1)] for w in split]
+                    kept.update([(w, 0, n) for w, e, n in zip(split, at, [*at[1:], 0], strict=False) if e == 1])
+                    kept.update([(w, 1, n) for w, e, n in zip(split, at, [0, *at], strict=False) if e == 1])
+                    if len(kept) > 300_000:
+                        yield from out()
+        yield from out()
+
+    slim = docs.select(F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(count, "word string, side int, core int, c long").groupBy("word", "side", "core").agg(F.sum("c").alias("c"))
+
+
+def fit_vectors(model: LogBilinear, counts: np.ndarray, prior: float = PRIOR, steps: int = STEPS) -> np.ndarray:
+    """A vector for each row of counts (of the core's places), with the model's others as they are and its class as prior.
+
+    Steps are Newton's with the curvature at the class, cut so that no score changes by more than two at once.
+    """
+    q, b, start = model.q, model.b, model.rc[1]
+    p = np.exp(log_softmax(start[None, :] @ q.T + b))[0]
+    bent, axes = np.linalg.eigh((q.T * p) @ q - np.outer(p @ q, p @ q))
+    bent, axes, n = bent.astype(np.float32).clip(0), axes.astype(np.float32), counts.sum(axis=1, keepdims=True)
+    x = np.repeat(start[None, :], len(counts), axis=0)
+    for _ in range(steps):
+        back = (counts - n * np.exp(log_softmax(x @ q.T + b))) @ q - prior * (x - start)
+        move = ((back @ axes) / (prior + n * bent)) @ axes.T
+        x += move * np.minimum(1, 2 / (np.abs(move @ q.T).max(axis=1, keepdims=True) + 1e-9))
+    return x
+
+
+def log_softmax(score: np.ndarray) -> np.ndarray:
+    score = score - score.max(axis=1, keepdims=True)
+    return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+
+
+def class_vectors(pairs: DataFrame, told) -> DataFrame:
+    """word, c, after, before, zx, zy: both vectors of every word outside the core, as raw 16-bit numbers, and their norms.
+
+    A word has at most a row for each side and place, so no key is hot. Words met once have one of few vectors a side,
+    which each task fits once.
+    """
+
+    def fit(parts):
+        import pyarrow as pa
+
+        models = told.value
+        v = len(models[0].b)
+
+        def fitted(m, counts):
+            x = fit_vectors(m, counts).astype(np.float16)
+            return x, norms(m, x.astype(np.float32))
+
+        once = [fitted(m, np.eye(v, dtype=np.float32)) for m in models]
+        for whole in parts:
+            for begin in range(0, len(whole), 4000):
+                part = whole.slice(begin, 4000)
+                lists = part.column("pairs")
+                flat, n = lists.flatten(), len(part)
+                row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                side, core, c = (flat.field(k).to_numpy() for k in ("side", "core", "c"))
+                total = np.bincount(row, weights=c * (side == 0), minlength=n).astype(np.int64)
+                cols = [part.column("word"), pa.array(total)]
+                place = np.cumsum(total > 1) - 1
+                for k, m in enumerate(models):
+                    mine = side == k
+                    x, z = np.empty((n, m.q.shape[1]), dtype=np.float16), np.empty(n)
+                    alone, many = mine & (total[row] == 1), mine & (total[row] > 1)
+                    x[row[alone]], z[row[alone]] = once[k][0][core[alone]], once[k][1][core[alone]]
+                    counts = np.zeros((int((total > 1).sum()), v), dtype=np.float32)
+                    counts[place[row[many]], core[many]] = c[many]
+                    x[total > 1], z[total > 1] = fitted(m, counts)
+                    cols += [pa.array([r.tobytes() for r in x], pa.binary()), pa.array(z)]
+                yield pa.RecordBatch.from_arrays(cols, ["word", "c", "after", "zx", "before", "zy"])
+
+    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("side", "core", "c")).alias("pairs"))
+    return listed.mapInArrow(fit, "word string, c long, after binary, zx double, before binary, zy double")
+
+
+def vectors_of(column, missing: np.ndarray) -> np.ndarray:
+    """Raw vectors of an Arrow column as a matrix; nulls are the missing one."""
+    blank = missing.astype(np.float16).tobytes()
+    return np.frombuffer(b"".join(blank if x is None else x for x in column.to_pylist()), dtype=np.float16).reshape(len(column), -1).astype(np.float32)
+
+
+def class_sums(vectors: DataFrame, told, size: int) -> np.ndarray:
+    """Z: for each place before, the sum over all words of the class, and one that training never met, of U(w) P(h | w)."""
+
+    def add(parts):
+        import pyarrow as pa
+
+        back = told.value[1]
+        total = np.zeros(len(back.b))
+        for whole in parts:
+            for begin in range(0, len(whole), 2000):
+                part = whole.slice(begin, 2000)
+                y = vectors_of(part.column("before"), back.rc[1])
+                p = np.exp(y @ back.q.T + back.b - part.column("zy").to_numpy()[:, None].astype(np.float32))
+                total += ((part.column("c").to_numpy() + 1) / size) @ p
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "z"])
+
+    back = told.value[1]
+    out = np.exp(log_softmax(back.rc[1][None, :] @ back.q.T + back.b))[0].astype(np.float64) / size
+    for r in vectors.select("c", "before", "zy").mapInArrow(add, "place long, z double").groupBy("place").agg(F.sum("z").alias("z")).collect():
+        out[r["place"]] += r["z"]
+    return out
+
+
+class _Scorer(_Names):
+    """What a task needs: both models, the frequent words' numbers, costs and vectors, and the sums Z."""
+
+    def __init__(self, core: list[str], frequent: dict[str, int], forth: LogBilinear, back: LogBilinear, vectors: dict[str, tuple[bytes, bytes]], sums: np.ndarray, tokens: int, distinct: int, ends: int, size: int):
+        super().__init__(core, frequent)
+        self.forth, self.back, self.vectors, self.sums, self.tokens, self.distinct, self.ends, self.size = forth, back, vectors, sums, tokens, distinct, ends, size
 
     def ready(self) -> _Scorer:
-        numbers = {w: i + 2 for i, w in enumerate(self.model.words)}
-        order = sorted(self.frequent)
-        # entry 0: the end; entry 1: words looked up elsewhere
-        self.entry = {w.encode(): i + 2 for i, w in enumerate(order)}
+        super().ready()
         base = lambda c: np.log10((c + 1) / (self.tokens + self.distinct + 1))
-        self.base = np.array([base(self.ends), 0.0, *(base(self.frequent[w]) for w in order)])
-        self.number = np.array([0, 1, *(numbers.get(w, 1) for w in order)])
-        within = lambda c: np.log10((c + 1) / (self.other[0] + self.other[1] + 1))
-        self.within = np.array([0.0, 0.0, *(0.0 if w in numbers else within(self.frequent[w]) for w in order)])
-        self.log = (self.model.log_probabilities() / LN10).ravel()
+        self.base = np.array([base(self.ends), 0.0, *(base(self.frequent[w]) for w in self.order)])
+        self.x, self.y = self.forth.rc[self.number].copy(), np.repeat(self.back.rc[1][None, :], len(self.number), axis=0)
+        self.u = np.zeros(len(self.number))
+        for i, w in enumerate(self.order, 2):
+            if self.number[i] == 1:
+                self.x[i], self.y[i] = (np.frombuffer(v, dtype=np.float16) for v in self.vectors[w])
+                self.u[i] = np.log((self.frequent[w] + 1) / self.size)
+        self.zx, self.zy, self.log_sums = norms(self.forth, self.x), norms(self.back, self.y), np.log(self.sums)
         return self
 
+    def following(self, x: np.ndarray, zx: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log P(place | the word of vector x before it)."""
+        return np.einsum("ij,ij->i", x, self.forth.q[place]) + self.forth.b[place] - zx
 
-def _ready(told) -> _Scorer:
-    return held_by_worker(told.value.name, lambda: told.value.ready())
+    def within(self, y: np.ndarray, zy: np.ndarray, u: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log P(the word of vector y | it is outside the core, the place before it)."""
+        return u + np.einsum("ij,ij->i", y, self.back.q[before]) + self.back.b[before] - zy - self.log_sums[before]
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
-    The model and the counts come from rows that are not held out. Every text ends with a token of its own, so null and
-    empty texts have one token. base_score and score are sums of log10 probabilities: of smoothed single words, and of
-    the model. Frequent words are scored where the text is read; the others leave as (row, word, times) and meet their
-    counts in a join. Each of them has less than SHARE of all training tokens, so no key of that join is hot, and a word
-    that training never met is as rare as its own documents make it. Repeated rows are scored separately. Without
-    training rows the counts are zero and the model knows only the class of others.
+    The models, vectors and counts come from rows that are not held out. Every text ends with a token of its own, so null
+    and empty texts have one token. base_score and score are sums of log10 probabilities: of smoothed single words, and
+    of the model. Frequent words are scored where the text is read; the others leave as (row, word, place before, place
+    after, times) and meet their counts and vectors in a join. Each of them has less than SHARE of all training tokens,
+    so no key of that join is hot, and a word that training never met is as rare as its own documents make it. Repeated
+    rows are scored separately. Without training rows the counts are zero and the model knows only the class of others.
     """
     out = held_out(id_col, 7)
     training = docs.where(~out)
@@ -165,27 +327,34 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens, distinct, ends = (x or 0 for x in sums)
     frequent = {r["word"]: r["c"] for r in counts.where((F.col("c") >= tokens * SHARE) & (F.col("word") != "")).collect()}
     known = sorted(frequent, key=lambda w: (-frequent[w], w))[:words]
-    model = LogBilinear(known, pair_counts(training, known, text_col))
+    pairs = pair_counts(training, known, text_col)
+    forth, back = LogBilinear(known, pairs), LogBilinear(known, pairs.T)
     in_model = sum(frequent[w] for w in known)
-    scorer = _Scorer(model, frequent, tokens, distinct, ends, (tokens - ends - in_model, distinct - (ends > 0) - len(known)))
-    told = docs.sparkSession.sparkContext.broadcast(scorer)
-    v = len(known) + 2
+    size = tokens - ends - in_model + distinct - (ends > 0) - len(known) + 1
+    share = docs.sparkSession.sparkContext.broadcast
+    models = share((forth, back))
+    vectors = settle(class_vectors(class_pairs(training, share(_Names(known, frequent)), text_col), models), "vectors")
+    chosen = docs.sparkSession.createDataFrame([(w,) for w in set(frequent).difference(known)], "word string")
+    mine = {r["word"]: (bytes(r["after"]), bytes(r["before"])) for r in vectors.join(F.broadcast(chosen), "word").toLocalIterator()}
+    told = share(_Scorer(known, frequent, forth, back, mine, class_sums(vectors, models, size), tokens, distinct, ends, size))
 
     def score(parts):
         import pyarrow as pa
 
         s = _ready(told)
-        entry = s.entry.get
+        entry, number = s.entry.get, s.number.tolist()
         uid = TaskContext.get().partitionId() << 33
         for part in parts:
             for begin, texts in batches(part.column("text")):
-                ids, sizes, rows, rare, times = [], [], [], [], []
+                ids, sizes, rows, rare, places, times = [], [], [], [], [], []
                 for i, t in enumerate(texts):
                     split = words_of(t)
                     mine = [entry(w, 1) for w in split]
                     if 1 in mine:
-                        met = Counter([w for w, e in zip(split, mine, strict=True) if e == 1])
-                        rare += met.keys()
+                        at = [number[e] for e in mine]
+                        met = Counter([(w, p, n) for w, e, p, n in zip(split, mine, [0, *at], [*at[1:], 0], strict=False) if e == 1])
+                        rare += [w for w, _, _ in met]
+                        places += [(p, n) for _, p, n in met]
                         times += met.values()
                         rows += [uid + i] * len(met)
                     ids += mine
@@ -193,8 +362,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sizes.append(len(mine) + 1)
                 at = np.array(ids, dtype=np.int64)
                 numbers = s.number[at]
-                before = np.concatenate([[0], numbers[:-1]])
-                lp = s.log[before * v + numbers] + s.within[at]
+                before = np.concatenate([[0], at[:-1]])
+                lp = np.zeros(len(at))
+                for begun in range(0, len(at), 100_000):
+                    cut = slice(begun, begun + 100_000)
+                    h, w, place = before[cut], at[cut], numbers[cut]
+                    lp[cut] = np.where(h == 1, 0.0, s.following(s.x[h], s.zx[h], place))
+                    out_ = np.flatnonzero((place == 1) & (w != 1))
+                    lp[cut][out_] += s.within(s.y[w[out_]], s.zy[w[out_]], s.u[w[out_]], s.number[h[out_]])
+                lp /= LN10
                 stops = np.cumsum(sizes)
                 starts = stops - sizes
                 add = lambda x, a=starts: np.add.reduceat(x, a)
@@ -207,6 +383,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     "base": np.concatenate([add(s.base[at]), np.zeros(len(rows))]),
                     "lp": np.concatenate([add(lp), np.zeros(len(rows))]),
                     "times": np.concatenate([np.zeros(n, dtype=np.int64), np.array(times, dtype=np.int64)]),
+                    "previous": np.concatenate([np.zeros(n, dtype=np.int32), np.array([p for p, _ in places], dtype=np.int32)]),
+                    "next": np.concatenate([np.zeros(n, dtype=np.int32), np.array([x for _, x in places], dtype=np.int32)]),
                 }
                 uid += n
                 blank = pa.nulls(len(rows), pa.int64())
@@ -216,13 +394,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([ids_, held, *map(pa.array, cols.values()), word], ["doc_id", "held_out", *cols, "word"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    laid = settle(slim.mapInArrow(score, "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, lp double, times long, word string"), "scored")
+    laid = settle(slim.mapInArrow(score, "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, lp double, times long, previous int, next int, word string"), "scored")
 
-    c = F.coalesce("c", F.lit(0))
-    other = scorer.other[0] + scorer.other[1] + 1
+    def rare_words(parts):
+        import pyarrow as pa
+
+        s = _ready(told)
+        unmet = [float(norms(m, m.rc[1:2].astype(np.float16).astype(np.float32))[0]) for m in (s.forth, s.back)]
+        for whole in parts:
+            for begin in range(0, len(whole), 20_000):
+                part = whole.slice(begin, 20_000)
+                c, times = part.column("c").fill_null(0).to_numpy(), part.column("times").to_numpy()
+                x, y = vectors_of(part.column("after"), s.forth.rc[1]), vectors_of(part.column("before"), s.back.rc[1])
+                zx, zy = (part.column(k).fill_null(z).to_numpy() for k, z in (("zx", unmet[0]), ("zy", unmet[1])))
+                lp = s.following(x, zx, part.column("next").to_numpy())
+                lp += s.within(y, zy, np.log((c + 1) / s.size), part.column("previous").to_numpy())
+                cols = [part.column("uid"), pa.array(times * np.log10((c + 1) / (s.tokens + s.distinct + 1))), pa.array(times * lp / LN10), pa.array(np.where(c > 0, times, 0))]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "base", "lp", "n_known"])
+
+    seen = vectors.where(F.col("c") < tokens * SHARE)
     rare = (
-        laid.where("word is not null").select("uid", "word", "times").join(counts.where((F.col("c") < tokens * SHARE) & (F.col("word") != "")), "word", "left")
-        .select("uid", (F.col("times") * F.log10((c + 1) / F.lit(tokens + distinct + 1))).alias("base"), (F.col("times") * F.log10((c + 1) / F.lit(other))).alias("lp"), F.when(c > 0, F.col("times")).otherwise(0).alias("n_known"))
+        laid.where("word is not null").select("uid", "word", "times", "previous", "next").join(seen, "word", "left")
+        .select("uid", "word", "times", "previous", "next", "c", "after", "zx", "before", "zy").mapInArrow(rare_words, "uid long, base double, lp double, n_known long")
         .groupBy("uid").agg(F.sum("base").alias("base2"), F.sum("lp").alias("lp2"), F.sum("n_known").alias("known2"))
     )
     zero = F.lit(0)

@@ -191,6 +191,21 @@ def test_model_is_normalised_and_learns():
     assert np.allclose(p.sum(axis=1), 1) and p[2, 3] > 0.9 and p[3, 2] > 0.9
 
 
+def test_words_outside_the_core_have_vectors(spark):
+    """With two words in the core, a word outside still tells what follows it, and what it follows, by its own pairs."""
+    texts = ["a left", "b right", "left a", "right b"]
+    rows = [(i, " ".join([texts[i % 2]] * 3 + ["x%d" % i])) for i in range(1500)]
+    ids = [i for i in range(5000, 9000) if held(i, 7)]
+    asked = dict(zip(ids, ["a left a left", "a right a right", "b right b right", "b left b left"], strict=False))
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows + list(asked.items()), "doc_id long, text string"), words=2).collect()}
+    straight, crossed, straight2, crossed2 = (got[i] for i in asked)
+    assert straight > crossed + 1 and straight2 > crossed2 + 1
+    forth = lm.LogBilinear(["a", "b"], np.full((4, 4), 5.0))
+    counts = np.array([[0, 0, 300, 1], [0, 0, 1, 300], [1, 1, 1, 1]], dtype=np.float32)
+    p = np.exp(lm.log_softmax(lm.fit_vectors(forth, counts, prior=1e-3, steps=50) @ forth.q.T + forth.b))
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and p[0, 2] > p[1, 2] and p[1, 3] > p[0, 3]
+
+
 # --- fingerprints
 
 
