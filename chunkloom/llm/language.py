@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from chunkloom.llm._common import batches, held_by_worker, held_out, settle
 
 LONGEST = 4
-#: Kept are words and n-grams with at least this share of a language's; so there are at most as many as its inverse.
+#: Kept in all languages are words and n-grams with at least this share of one's; so each adds at most its inverse.
 WORD_SHARE, GRAM_SHARE = 1 / 50_000, 1 / 20_000
 #: Cost, in powers of ten, of a word or n-gram that a language lacks but another has.
 ABSENT = 7.0
@@ -106,7 +106,7 @@ class Scorer:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Count words and n-grams of all rows with a language; only entries above the given shares reach the driver."""
+    """Count words and n-grams of all rows with a language; only entries above the given shares in some language reach the driver, with their counts in all."""
     slim = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(parts):
@@ -145,7 +145,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Mo
         return Model([], {})
     of = docs.sparkSession.createDataFrame([(k, n, c) for (k, n), c in totals.items()], "lang string, n int, total long")
     share = F.when(F.col("n") == 0, WORD_SHARE).otherwise(GRAM_SHARE)
-    rows = counts.join(F.broadcast(of), ["lang", "n"]).where(F.col("c") >= F.col("total") * share)
+    kept = counts.join(F.broadcast(of), ["lang", "n"]).where(F.col("c") >= F.col("total") * share).select("n", "gram").distinct()
+    rows = counts.join(F.broadcast(kept), ["n", "gram"], "left_semi")
     return Model(sorted((r["lang"], r["n"], r["gram"], r["c"]) for r in rows.select("lang", "n", "gram", "c").collect()), totals)
 
 

@@ -94,6 +94,15 @@ def test_language_backs_off():
     assert score("123 !")[0] == "und" and score("")[0] == "und" and language.Scorer(language.Model([], {})).predict("word") == ("und", 0.0)
 
 
+def test_words_kept_in_one_language_cost_their_own_in_others(spark):
+    """A word below the share in the larger language, but kept in the smaller, costs what its count there says."""
+    rows = [("en", "the " * 60_000 + "zug"), ("de", "zug " * 10)]
+    model = language.train(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == ["de", "en"]
+    assert model.words["zug"] == pytest.approx([0.0, math.log10(60_001)])
+    assert model.grams[3]["zug "] == pytest.approx([math.log10(3 - 1), math.log10(2 * 60_000 + 2)])
+
+
 def test_language_odd(odd, empty):
     found = by_row(language.identify(odd).select("doc_id", "held_out", "lang_pred", "score"))
     assert len(found) == len(ODD) and sum(r[2] == "und" for r in found) == 3
