@@ -6,6 +6,7 @@ row-major order and trimmed at the array's edges; a chunk that is missing holds
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,6 +17,11 @@ from pyspark.sql.window import Window
 from chunkloom.functions.hashing import exact_digest, portable_digest
 
 
+def filler(fill, kind: str) -> Column:
+    """A fill value as a column of a Spark type; dicts are of structs, and other types than JSON's are given as text."""
+    return F.from_json(F.lit(json.dumps(fill)), kind) if isinstance(fill, dict) else F.lit(fill).cast(kind)
+
+
 def names(prefix: str, n: int) -> list[str]:
     return [f"{prefix}{k}" for k in range(n)]
 
@@ -49,17 +55,21 @@ def chunk_cells(cells: DataFrame, shape: Sequence[int], chunks: Sequence[int], f
     """Rows c0, ..., extent, cells of an array's chunks, from its cells; cells that are not given hold fill.
 
     Only chunks with a given cell come up. One whose cells all hold fill is left out unless keep_fill is set. A chunk has
-    a bounded number of cells, so a group of the aggregate is bounded too. Coordinates must be within the shape, once each.
+    a bounded number of cells, so a group of the aggregate is bounded too, and is put in order once: the cost of a chunk
+    grows as its cells and their sort. Coordinates must be within the shape, once each.
     """
     n, kind = len(shape), dict(cells.dtypes)["val"]
     c = names("c", n)
     placed = cells.withColumns({f"c{k}": chunk_of(F.col(f"d{k}"), chunks[k]) for k in range(n)})
-    grouped = placed.groupBy(*c).agg(F.map_from_entries(F.collect_list(F.struct(_place(shape, chunks).alias("p"), F.col("val").alias("v")))).alias("m"))
+    grouped = placed.groupBy(*c).agg(F.collect_list(F.struct(_place(shape, chunks).alias("p"), F.struct(F.col("val").alias("v")).alias("x"))).alias("given"))
     extent = extent_of(shape, chunks)
     size = F.aggregate(extent, F.lit(1), lambda a, x: a * x)
-    full = F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(fill).cast(kind)))
+    blank = F.struct(filler(fill, kind).alias("v"))
+    missing = F.array_except(F.sequence(F.lit(0), size - 1), F.transform("given", lambda x: x["p"]))
+    filled = F.when(F.size("given") == size, F.col("given")).otherwise(F.concat("given", F.transform(missing, lambda p: F.struct(p.alias("p"), blank.alias("x")))))
+    full = F.transform(F.sort_array(filled), lambda x: x["x"]["v"])
     out = grouped.select(*c, extent.alias("extent"), full.alias("cells"))
-    return out if keep_fill else out.where(F.exists("cells", lambda x: ~x.eqNullSafe(F.lit(fill).cast(kind))))
+    return out if keep_fill else out.where(F.exists("cells", lambda x: ~x.eqNullSafe(filler(fill, kind))))
 
 
 def assemble(chunks_df: DataFrame, chunks: Sequence[int]) -> DataFrame:
@@ -89,7 +99,7 @@ def dense_cells(cells: DataFrame, shape: Sequence[int], fill=0) -> DataFrame:
     """All cells of an array, those that are not given with fill. For shapes that one means to have in full."""
     n, kind = len(shape), dict(cells.dtypes)["val"]
     every = grid(cells.sparkSession, shape, [1] * n).select(*[F.col(f"c{k}").alias(f"d{k}") for k in range(n)])
-    return every.join(cells, names("d", n), "left").select(*names("d", n), F.coalesce("val", F.lit(fill).cast(kind)).alias("val"))
+    return every.join(cells.withColumn("_in", F.lit(True)), names("d", n), "left").select(*names("d", n), F.when(F.col("_in"), F.col("val")).otherwise(filler(fill, kind)).alias("val"))
 
 
 def hash_chunks(chunks_df: DataFrame, exact: bool = False) -> DataFrame:

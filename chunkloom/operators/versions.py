@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chunkloom.sources.files import settle
+
+#: Versions whose pointers the driver follows itself; one more, and they are joined instead.
+LISTED = 100_000
+
 
 def daily_chain(events: DataFrame, ts: str = "ts") -> DataFrame:
     """One version a day: its date, the version before it, its last time. The window sees one row a day."""
@@ -13,13 +18,38 @@ def daily_chain(events: DataFrame, ts: str = "ts") -> DataFrame:
     return days.withColumn("prev", F.lag("v").over(Window.orderBy("v")))
 
 
+def _listed(versions: DataFrame) -> dict | None:
+    """Each version's prev, if there are at most LISTED versions; None if there are more."""
+    rows = versions.select("v", "prev").limit(LISTED + 1).collect()
+    return dict(map(tuple, rows)) if len(rows) <= LISTED else None
+
+
 def lineage(versions: DataFrame, head) -> DataFrame:
-    """v and depth from head (depth 0) back to the root, along prev."""
-    return versions.sparkSession.sql(
-        "WITH RECURSIVE a(v, depth) AS (SELECT v, 0 FROM {start} UNION ALL"
-        " SELECT p.prev, a.depth + 1 FROM a JOIN {versions} p ON p.v = a.v WHERE p.prev IS NOT NULL) SELECT v, depth FROM a",
-        versions=versions, start=versions.where(F.col("v") == F.lit(head)).select("v"),
-    )
+    """v and depth from head (depth 0) back to the root, along prev; no row if there is no such version.
+
+    Up to LISTED versions are walked on the driver, when this is called. Beyond, pointers double: each round joins every
+    version's pointer with the pointers of the versions found so far, so rounds grow with the logarithm of the depth.
+    """
+    spark, kind = versions.sparkSession, versions.schema["v"].dataType.simpleString()
+    if (prev := _listed(versions)) is not None:
+        out, at = [], head
+        while at in prev and len(out) <= len(prev):
+            out.append((at, len(out)))
+            at = prev[at]
+        if len(out) > len(prev):
+            raise ValueError("the versions before head form a ring")
+        return spark.createDataFrame(out, f"v {kind}, depth int")
+    found = settle(versions.where(F.col("v") == F.lit(head)).select("v", F.lit(0).alias("depth")))
+    up = settle(versions.where("prev is not null").select("v", "prev").join(versions.select(F.col("v").alias("prev")), "prev", "left_semi"))
+    far = 1
+    while not found.isEmpty():
+        new = found.join(up, "v").select(F.col("prev").alias("v"), (F.col("depth") + far).alias("depth"))
+        if new.isEmpty():
+            break
+        found = settle(found.unionByName(new))
+        up = settle(up.join(up.select(F.col("v").alias("prev"), F.col("prev").alias("_next")), "prev").select("v", F.col("_next").alias("prev")))
+        far *= 2
+    return found
 
 
 def nth_ancestor(versions: DataFrame, head, n: int) -> DataFrame:
@@ -51,13 +81,28 @@ def asof_join(probes: DataFrame, versions: DataFrame, t: str = "t", bucket: str
 
 
 def drop_versions(versions: DataFrame, gone: DataFrame, reparent: bool = True) -> DataFrame:
-    """versions without those in gone (column v); survivors' prev becomes the nearest kept ancestor, or stays as it was."""
+    """versions without those in gone (column v); survivors' prev becomes the nearest kept ancestor, or stays as it was.
+
+    The pointers of versions that go are followed on the driver for up to LISTED of them, and doubled beyond.
+    """
     kept = versions.join(gone.select("v"), "v", "left_anti")
     if not reparent:
         return kept
-    return versions.sparkSession.sql(
-        "WITH RECURSIVE w(v, vts, anc) AS (SELECT v, vts, prev FROM {kept} UNION ALL"
-        " SELECT w.v, w.vts, p.prev FROM w JOIN {versions} p ON p.v = w.anc JOIN {gone} g ON g.v = w.anc)"
-        " SELECT w.v, w.vts, w.anc AS prev FROM w LEFT ANTI JOIN {gone} g ON g.v = w.anc",
-        kept=kept, versions=versions, gone=gone.select("v"),
-    )
+    spark, kind = versions.sparkSession, versions.schema["v"].dataType.simpleString()
+    lost = versions.join(gone.select("v"), "v", "left_semi").select("v", "prev")
+    if (prev := _listed(lost)) is not None:
+        for v in list(prev):
+            path = []
+            while v in prev:
+                path.append(v)
+                v = prev[v]
+            prev |= dict.fromkeys(path, v)  # later walks stop here
+        to = spark.createDataFrame(list(prev.items()), f"v {kind}, prev {kind}")
+    else:
+        to = settle(lost)
+        while not to.join(to.select(F.col("v").alias("prev")), "prev", "left_semi").isEmpty():
+            after = to.select(F.col("v").alias("prev"), F.col("prev").alias("_next"), F.lit(True).alias("_lost"))
+            to = settle(to.join(after, "prev", "left").select("v", F.when(F.col("_lost"), F.col("_next")).otherwise(F.col("prev")).alias("prev")))
+    new = to.select(F.col("v").alias("prev"), F.col("prev").alias("_to"), F.lit(True).alias("_lost"))
+    joined = kept.join(new, "prev", "left")
+    return joined.select(*[F.when(F.col("_lost"), F.col("_to")).otherwise(F.col("prev")).alias("prev") if c == "prev" else F.col(c) for c in versions.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Files:
@@ -36,18 +36,32 @@ class Files:
             stream.close()
 
     def publish(self, path: str, text: str) -> bool:
-        """Write a file that appears at once and whole; False if there is one of that name already."""
-        half, fs = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
-        stream = fs.create(half, False)
+        """Write a file that appears at once and whole; False if there is one of that name, or one is being written.
+
+        The name is claimed by creating an empty file without leave to overwrite, which one writer only is granted by
+        file systems with a name server and by object stores with conditional writes. A writer that dies between its
+        claim and its file leaves the claim, which then has to be deleted by hand.
+        """
+        claim, fs = self._at(f"{path}.claim")
+        try:
+            fs.create(claim, False).close()
+        except Exception:
+            if fs.exists(claim):  # which exception says that a file exists differs from store to store
+                return False
+            raise
         try:
-            stream.write(bytearray(text.encode()))
+            where, _ = self._at(path)
+            if fs.exists(where):
+                return False
+            half, _ = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
+            stream = fs.create(half, False)
+            try:
+                stream.write(bytearray(text.encode()))
+            finally:
+                stream.close()
+            return bool(fs.rename(half, where))
         finally:
-            stream.close()
-        where, _ = self._at(path)
-        done = not fs.exists(where) and fs.rename(half, where)
-        if not done:
-            fs.delete(half, False)
-        return bool(done)
+            fs.delete(claim, False)
 
     def delete(self, path: str) -> None:
         where, fs = self._at(path)
@@ -56,5 +70,18 @@ class Files:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder's name below spark.checkpoint.dir, or in local tests below a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='chunkloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='chunkloom-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to a scratch folder and read again, which ends its lineage."""
+    where = scratch(df.sparkSession)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
