@@ -3,196 +3,299 @@
 A word that the training texts hold is scored by its log frequency in each language. One they lack is scored by the
 longest of its n-grams (4 to 1 letters, with a mark at each end) that they do hold. A text's language is the one with
 the best mean score over its words.
+
+The model is two tables of all words and all n-grams that were counted, none left out. What is scored once, by joins, is
+each distinct piece of text between white space; texts then add up their pieces' costs (see `rare`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import uuid
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import batches, held_by_worker, held_out, settle
+from chunkloom.llm import rare
+from chunkloom.llm._common import batches, held_out, release, settle
 
 LONGEST = 4
-#: Kept in all languages are words and n-grams with at least this share of one's; so each adds at most its inverse.
-WORD_SHARE, GRAM_SHARE = 1 / 50_000, 1 / 20_000
-#: Cost, in powers of ten, of a word or n-gram that a language lacks but another has.
+#: Cost, in powers of ten, of a word or n-gram that a language lacks but another has; no cost is higher.
 ABSENT = 7.0
-#: Pieces of text that a worker remembers.
-REMEMBERED = 300_000
-
-
 #: A word: a run of letters and the marks on them.
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
 def grams_of(word: str, n: int) -> list[str]:
+    """The word's n-grams, with a space before and after it; single letters without."""
     marked = f" {word} "
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
-class Model:
-    """Languages, words and n-grams with their costs by language, and the costs of words that it lacks."""
-
-    def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
-        """rows: language, n (0: whole words), the word or n-gram, its count. totals: counts of all, kept or not."""
-        self.name = uuid.uuid4().hex
-        self.languages = sorted({lang for lang, _ in totals})
-        number = {x: i for i, x in enumerate(self.languages)}
-        tables: list[dict[str, list[float]]] = [{} for _ in range(LONGEST + 1)]
-        for lang, n, gram, c in rows:
-            costs = tables[n].setdefault(gram, [ABSENT] * len(self.languages))
-            costs[number[lang]] = min(ABSENT, -math.log10(c / totals[lang, n]))
-        self.words, self.grams = tables[0], tables[1:]
-
-    def cost(self, word: str) -> list[float]:
-        """By language: of the word, or else the mean over its longest n-grams that are known, or else nothing known."""
-        if (found := self.words.get(word)) is not None:
-            return found
-        for n in range(LONGEST, 0, -1):
-            table = self.grams[n - 1]
-            rows = [table[g] for g in grams_of(word, n) if g in table]
-            if rows:
-                return [sum(x) / len(rows) for x in zip(*rows, strict=True)]
-        return [ABSENT] * len(self.languages)
-
-
-class Scorer:
-    """A model with the pieces of text between white space that a worker has met, up to REMEMBERED of them."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        wide = len(model.languages) + 1  # the last column counts words
-        self.costs, self.used, self.rest = np.zeros((10_000, wide)), 1, np.zeros(wide)  # row 0 is of pieces scored aside
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> int:
-                row = outer.row(piece)
-                if outer.used > REMEMBERED:
-                    outer.rest += row
-                    return 0
-                if outer.used == len(outer.costs):
-                    outer.costs = np.concatenate([outer.costs, np.zeros_like(outer.costs)])
-                outer.costs[outer.used] = row
-                self[piece] = outer.used
-                outer.used += 1
-                return outer.used - 1
-
-        self.known = Known()
-
-    def row(self, piece: str) -> list[float]:
-        words = _WORD.findall(piece)
-        rows = [self.model.cost(w) for w in words]
-        return [*(sum(x) for x in zip(*rows, strict=True)), len(words)] if rows else [0.0] * (len(self.model.languages) + 1)
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """The language and its posterior probability, taking languages as equally likely and words as independent."""
-        if not self.model.languages:
-            return "und", 0.0
-        self.rest = np.zeros(len(self.model.languages) + 1)
-        at = list(map(self.known.__getitem__, text.lower().split()))  # may put another array in place of costs
-        total = self.costs[at].sum(axis=0) + self.rest
-        if not total[-1]:
-            return "und", 0.0
-        total = total[:-1]
-        best = int(total.argmin())
-        return self.model.languages[best], float(1 / np.exp(np.minimum(700, (total - total[best]) * math.log(10)) * -1).sum())
-
-
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
-    """Count words and n-grams of all rows with a language; only entries above the given shares in some language reach the driver, with their counts in all."""
-    slim = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+def _split(text: str) -> list[str]:
+    return text.lower().split()
+
+
+def count_pieces(docs: DataFrame) -> DataFrame:
+    """lang, piece, c: how often each piece of text (column text, lower-cased) occurs under each language (null: none)."""
 
     def count(parts):
         import pyarrow as pa
 
-        kept: defaultdict[str, Counter] = defaultdict(Counter)
+        kept: defaultdict[str | None, Counter] = defaultdict(Counter)
 
         def out():
             for lang, pieces in kept.items():
-                words: Counter = Counter()
-                for piece, c in pieces.items():
-                    for w in _WORD.findall(piece):
-                        words[w] += c
-                for n in range(LONGEST + 1):
-                    if n:
-                        grams: Counter = Counter()
-                        for w, c in words.items():
-                            for g in grams_of(w, n):
-                                grams[g] += c
-                    else:
-                        grams = words
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["lang", "n", "gram", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pieces), pa.string()), pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["lang", "piece", "c"])
             kept.clear()
 
         for part in parts:
             for begin, texts in batches(part.column("text")):
                 for lang, text in zip(part.column("lang").slice(begin, len(texts)).to_pylist(), texts, strict=True):
-                    kept[lang].update(text.lower().split())  # no word holds white space
-                if sum(map(len, kept.values())) > 300_000:
+                    kept[lang].update(_split(text))
+                if sum(map(len, kept.values())) > 500_000:
                     yield from out()
         yield from out()
 
-    counts = settle(slim.mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "grams")
-    totals = {(r["lang"], r["n"]): r["c"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
-    if not totals:
-        return Model([], {})
-    of = docs.sparkSession.createDataFrame([(k, n, c) for (k, n), c in totals.items()], "lang string, n int, total long")
-    share = F.when(F.col("n") == 0, WORD_SHARE).otherwise(GRAM_SHARE)
-    kept = counts.join(F.broadcast(of), ["lang", "n"]).where(F.col("c") >= F.col("total") * share).select("n", "gram").distinct()
-    rows = counts.join(F.broadcast(kept), ["n", "gram"], "left_semi")
-    return Model(sorted((r["lang"], r["n"], r["gram"], r["c"]) for r in rows.select("lang", "n", "gram", "c").collect()), totals)
+    return docs.select("lang", "text").mapInArrow(count, "lang string, piece string, c long").groupBy("lang", "piece").agg(F.sum("c").alias("c"))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns named in keep (of any names but lang_pred and score; all by default), with lang_pred and score.
+def count_grams(words: DataFrame) -> DataFrame:
+    """lang, n, gram, c from distinct words with their counts."""
+
+    def count(parts):
+        import pyarrow as pa
+
+        kept: defaultdict[tuple[str, int], Counter] = defaultdict(Counter)
+
+        def out():
+            for (lang, n), grams in kept.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["lang", "n", "gram", "c"])
+            kept.clear()
+
+        for part in parts:
+            for lang, word, c in zip(*(part.column(k).to_pylist() for k in ("lang", "word", "c")), strict=True):
+                for n in range(1, LONGEST + 1):
+                    grams = kept[lang, n]
+                    for g in grams_of(word, n):
+                        grams[g] += c
+            if sum(map(len, kept.values())) > 500_000:
+                yield from out()
+        yield from out()
+
+    return words.select("lang", "word", "c").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+
+
+def _costs(c: Column, lang: Column, totals: dict[str, int], languages: list[str]) -> Column:
+    """An aggregate: by language, the cost of what a group of rows counts."""
+    each = [F.sum(F.when(lang == x, c)) for x in languages]
+    return F.array(*[F.least(F.lit(ABSENT), F.coalesce(-F.log10(n / totals.get(x, 1)), F.lit(ABSENT))) for x, n in zip(languages, each, strict=True)])
 
-    A null text, or one without a letter, is `und` with score 0. Ties go to the language first by name.
+
+@dataclass
+class Model:
+    """Languages; costs by language of all words (word, x) and n-grams (n, gram, x) that teach; and, for the texts in
+    docs, the costs of pieces (h, x), frequent ones (piece to x) apart."""
+
+    languages: list[str]
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    docs: DataFrame | None = None
+    pieces: DataFrame | None = None
+    frequent: dict[str, list[float]] | None = None
+
+
+def word_costs(words: DataFrame, model: Model) -> DataFrame:
+    """word, x for distinct words: by the word itself, or else the mean over its longest n-grams that are known, or else ABSENT."""
+    known = words.join(model.words, "word")
+    rest = settle(words.join(model.words.select("word"), "word", "left_anti"), "unknown")
+    wide = len(model.languages)
+    out = known
+    for n in range(LONGEST, 0, -1):
+        if rest.isEmpty():
+            return out
+
+        def spell(parts, n=n):
+            import pyarrow as pa
+
+            for part in parts:
+                grams = [grams_of(w, n) for w in part.column("word").to_pylist()]
+                at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+                yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(at)), pa.array([g for x in grams for g in x], pa.string())], ["word", "gram"])
+
+        found = rest.mapInArrow(spell, "word string, gram string").join(model.grams.where(F.col("n") == n).select("gram", "x"), "gram")
+        found = settle(found.groupBy("word").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(wide)]).alias("x")), "backed-off")
+        out = out.unionByName(found)
+        rest = settle(rest.join(found.select("word"), "word", "left_anti"), "unknown")
+    return out.unionByName(rest.select("word", F.array(*[F.lit(ABSENT)] * wide).alias("x")))
+
+
+def piece_costs(pieces: DataFrame, model: Model) -> DataFrame:
+    """piece, x for distinct pieces that tell languages apart: their words' costs by language, added up, less the least.
+
+    Pieces whose costs are the same in all languages change no verdict and no posterior, and are left out.
     """
-    keep = docs.columns if keep is None else keep
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    parts = pieces.select("piece", F.explode(F.regexp_extract_all("piece", F.lit(WORD), F.lit(0))).alias("word"))
+    costs = word_costs(parts.select("word").distinct(), model)
+    wide = len(model.languages)
+    added = parts.join(costs, "word").groupBy("piece").agg(F.array(*[F.sum(F.col("x")[k]) for k in range(wide)]).alias("x"))
+    return added.where(F.array_max("x") > F.array_min("x")).select("piece", F.transform("x", lambda v: (v - F.array_min("x")).cast("float")).alias("x"))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(text):
-        import pandas as pd
 
-        scorer = _scorer(told)
-        return pd.DataFrame([scorer.predict(t or "") for t in text], columns=["lang_pred", "score"])
+def train(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang", text_col: str = "text") -> Model:
+    """A model of the languages of the rows that teach (all by default) and have one; it has the pieces of all rows' texts.
 
-    judged = docs.select(*[F.col(f"`{c}`") for c in keep], judge(F.col(text_col).cast("string")).alias("_judged"))
-    return judged.select(*[F.col(f"`{c}`") for c in keep], "_judged.lang_pred", "_judged.score")
+    All counts stay in tables. The driver learns the languages, the totals, and the pieces that are frequent in docs.
+    """
+    spark = docs.sparkSession
+    lang = F.col(f"`{lang_col}`").cast("string")
+    slim = docs.select((lang if teaches is None else F.when(teaches, lang)).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    counts = settle(count_pieces(slim), "pieces")
+    words = counts.where("lang is not null").select("lang", F.explode(F.regexp_extract_all("piece", F.lit(WORD), F.lit(0))).alias("word"), "c")
+    words = settle(words.groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
+    grams = settle(count_grams(words), "grams")
+    of_words = {r["lang"]: r["c"] for r in words.groupBy("lang").agg(F.sum("c").alias("c")).collect()}
+    languages = sorted(of_words)
+    if not languages:
+        return Model([])
+    of_grams = {(r["lang"], r["n"]): r["c"] for r in grams.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
+    model = Model(languages, docs=docs)
+    model.words = settle(words.groupBy("word").agg(_costs(F.col("c"), F.col("lang"), of_words, languages).alias("x")), "word-costs")
+    by_n = [grams.where(F.col("n") == n).groupBy("n", "gram").agg(_costs(F.col("c"), F.col("lang"), {x: of_grams.get((x, n), 1) for x in languages}, languages).alias("x")) for n in range(1, LONGEST + 1)]
+    model.grams = settle(by_n[0].unionByName(by_n[1]).unionByName(by_n[2]).unionByName(by_n[3]), "gram-costs")
+    release(spark, words, grams)
+    return _covering(model, docs, counts)
+
+
+def _covering(model: Model, docs: DataFrame, counts: DataFrame) -> Model:
+    """The model with costs for all pieces in counts, which are of docs."""
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    each = counts.groupBy("piece").agg(F.sum("c").alias("c"))
+    often = {r["piece"] for r in each.where(F.col("c") >= total * rare.SHARE).select("piece").collect()}
+    spark = docs.sparkSession
+    mine = F.broadcast(spark.createDataFrame([(p,) for p in often], "piece string").withColumn("often", F.lit(True)))
+    costs = piece_costs(each.select("piece"), model).join(mine, "piece", "left")
+    costs = settle(costs.select(F.when(F.col("often"), F.col("piece")).alias("piece"), rare.hashed("piece").alias("h"), "x"), "piece-costs")
+    picked = costs.where("piece is not null").select("piece", "x").collect()
+    frequent = dict.fromkeys(often, [0.0] * len(model.languages)) | {r["piece"]: list(r["x"]) for r in picked}
+    release(spark, counts)
+    return Model(model.languages, model.words, model.grams, docs, costs.where("piece is null").select("h", "x"), frequent)
+
+
+class _Frequent:
+    """What travels with the scan: the frequent pieces and their costs."""
+
+    def __init__(self, frequent: dict[str, list[float]], wide: int):
+        self.order, self.wide = sorted(frequent), wide
+        self.costs = np.array([[0.0] * wide, *(frequent[p] for p in self.order)])
+
+
+def _totals(docs: DataFrame, model: Model, keep: list[tuple[str, Column]], text: Column) -> DataFrame:
+    """The columns of keep, md5 of the text, whether it has a word, and x: its pieces' costs by language, added up."""
+    if model.docs is not docs:
+        model = _covering(model, docs, settle(count_pieces(docs.select(F.lit(None).cast("string").alias("lang"), text.alias("text"))), "pieces"))
+    wide = len(model.languages)
+    told = docs.sparkSession.sparkContext.broadcast(_Frequent(model.frequent, wide))
+    kept = [(f"k{i}", c) for i, (_, c) in enumerate(keep)]
+    slim = docs.select(*[c.alias(n) for n, c in kept], F.coalesce(text, F.lit("")).alias("text"))
+    mine = [n for n, _ in kept]
+    fields = [f.name + " " + f.dataType.simpleString() for f in slim.schema.fields[:-1]]
+
+    def scan(parts):
+        import pyarrow as pa
 
+        s = told.value
+        blocks = rare.Blocks(s.order)
+        names = [*mine, "md5", "some", "uid", "x", "h", "block", "texts"]
+        word = regex.compile(r"\p{L}")
 
-def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """Rows whose text is in one of the model's languages, with at least this posterior probability; all columns as they are."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+        def out():
+            h, block, texts = blocks.rows()
+            for i in range(0, len(h), 50_000):
+                cut = [a.slice(i, 50_000) for a in (h, block, texts)]
+                n = len(cut[0])
+                blank = [pa.nulls(n, t) for t in (*types, pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*blank, *cut], names)
+
+        types = []
+        for part in parts:
+            types = [part.column(n).type for n in mine]
+            for begin, texts in batches(part.column("text")):
+                look, ids, sizes = blocks.numbers.__getitem__, [], []
+                for t in texts:
+                    found = list(map(look, _split(t)))
+                    ids += found
+                    ids.append(0)
+                    sizes.append(len(found) + 1)
+                at, sizes = np.array(ids, dtype=np.int64), np.array(sizes)
+                uid = blocks.add(at, sizes, sum(map(len, texts)))
+                x = np.add.reduceat(s.costs[np.where(at < blocks.numbers.first, at, 0)], np.cumsum(sizes) - sizes, axis=0)
+                n = len(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, s.wide * n + 1, s.wide, dtype=np.int32)), pa.array(x.ravel()))
+                md5 = pa.array([hashlib.md5(t.encode(), usedforsecurity=False).hexdigest() for t in texts], pa.string())
+                some = pa.array([word.search(t) is not None for t in texts], pa.bool_())
+                blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).slice(begin, n) for c in mine), md5, some, pa.array(uid), lists, *blank], names)
+                if blocks.full:
+                    yield from out()
+        if blocks.texts:
+            yield from out()
 
-    @F.pandas_udf("boolean")
-    def known(text):
-        import pandas as pd
+    schema = ", ".join([*fields, "md5 string, some boolean, uid long, x array<double>", rare.SCHEMA])
+    laid = settle(slim.mapInArrow(scan, schema), "costed")
+    release(docs.sparkSession)
+    more = rare.sums(laid.where("h is not null").select("h", "block", "texts"), model.pieces, wide)
+    summed = laid.where("uid is not null").drop("h", "block", "texts").join(more, "uid", "left")
+    x = F.when(F.col("sums").isNull(), F.col("x")).otherwise(F.zip_with("x", "sums", lambda a, b: a + b))
+    return summed.select(*[F.col(c).alias(n) for (c, _), (n, _) in zip(kept, keep, strict=True)], F.col("md5"), F.col("some"), x.alias("x"))
 
-        scorer = _scorer(told)
-        return pd.Series([lang != "und" and score >= least for lang, score in (scorer.predict(t or "") for t in text)], dtype=bool)
 
-    return docs.where(known(F.col(f"`{text_col}`").cast("string")))
+def _judged(languages: list[str]) -> tuple[Column, Column]:
+    """The language of the least cost and its posterior probability, taking languages as equally likely and words as independent."""
+    least = F.array_min("x")
+    share = F.aggregate("x", F.lit(0.0), lambda a, c: a + F.exp(-F.least(F.lit(700.0), (c - least) * math.log(10))))
+    best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("x", least).cast("int"))
+    return F.when(F.col("some"), best).otherwise("und"), F.when(F.col("some"), 1 / share).otherwise(0.0)
 
 
-def _scorer(told) -> Scorer:
-    return held_by_worker(told.value.name, lambda: Scorer(told.value))
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns named in keep (of any names but lang_pred and score; all by default), with lang_pred and score.
+
+    A null text, or one without a letter, is `und` with score 0, as is every text for a model without a language. Ties go
+    to the language first by name. Repeated rows are answered alike; an empty table gives an empty one.
+    """
+    keep = docs.columns if keep is None else keep
+    if not model.languages:
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    told = _totals(docs, model, [(f"_k{i}", F.col(f"`{c}`")) for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string"))
+    lang, score = _judged(model.languages)
+    return told.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], lang.alias("lang_pred"), score.alias("score"))
+
+
+def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """Rows whose text is in one of the model's languages, with at least this posterior probability; all columns as they are.
+
+    Null and empty texts go. Repeated rows stay or go together, since the verdict is on the text: texts that go are told
+    by their digest, and rows are not shuffled unless those texts are very many. An empty table stays empty.
+    """
+    if not model.languages:
+        return docs.where(F.lit(False))
+    text = F.col(f"`{text_col}`").cast("string")
+    lang, score = _judged(model.languages)
+    gone = _totals(docs, model, [], text).where((lang == "und") | (score < least)).select(F.col("md5").alias("_md5")).distinct()
+    return docs.join(settle(gone, "rejected"), F.md5(F.coalesce(text, F.lit(""))) == F.col("_md5"), "left_anti")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document; the model learns from rows that are not held out.
 
     Rows without a language teach nothing. Without any that do, every text is `und`. A prediction reads only the text.
+    Null and empty texts are `und`; repeated rows are answered alike; an empty table gives an empty one.
     """
     out = held_out(id_col, 4)
-    model = train(docs.where(~out), lang_col, text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"))
-    return predict(slim, model, keep=["doc_id", "held_out"])
+    slim = docs.select(F.col(id_col).alias("doc_id"), out.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return predict(slim, train(slim, ~F.col("held_out")), keep=["doc_id", "held_out"])
