@@ -1,35 +1,37 @@
-"""Language-model scoring with log-bilinear models trained by noise-contrastive estimation, in which every training word has vectors.
-
-The model predicts a word from the one before it: score(w | h) = q_w . C r_h + b_w, with word vectors r and q, a
-position matrix C and biases b. It is laid out in two levels, so that probabilities are normalised exactly however many
-words there are. The first level predicts the core: the most frequent words, the text's end, and one class for all words
-outside. The second predicts a word w of that class by Bayes from a second model, which predicts the word before:
-P(w | class, h) = U(w) P(h | w) / Z(h), where U are smoothed counts and Z(h) is a sum over all words of the class.
-
-Counts come from the whole training corpus. Pairs within the core train both models on the driver in numpy, the
-expectation over the noise being taken in full rather than by samples. Every word outside, however rare, then gets a
-vector as context and one as target, fitted by tasks to its own pairs with the core; these pairs and vectors stay in
-tables that grow with the corpus. Two words outside the core meet through their vectors and the class of the other.
+"""Language-model scoring with a log-bilinear model over classes of words, trained by noise-contrastive estimation.
+
+Every word has a class. The end of a text and the most frequent words are classes of their own; all others are classed by
+their last letters, the commonest endings each having a class and the rest being spread over a few. The model predicts
+a word's class from the classes of the two words before it: score(c | g, h) = (C1 r_g + C2 r_h) . q_c + b_c, with class
+vectors r and q, a matrix C for each position and biases b. Within its class a word has its smoothed share of the
+training tokens, so P(word | context) = P(class | context) * P(word | class), and both are normalised exactly: a batch of
+matrix products gives the log-probabilities of all classes after all pairs of classes.
+
+All tokens of all training texts train the model, as contexts and as targets. Each task runs noise-contrastive
+estimation in numpy over its own texts, with noise words drawn from the classes' shares, and the tasks' parameters are
+averaged by their numbers of tokens; a second round starts from the average. Counts of all distinct words are a table
+that grows with the corpus; texts meet the counts of words that are not frequent in a join (see `rare`).
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import batches, held_by_worker, held_out, settle
+from chunkloom.llm import rare
+from chunkloom.llm._common import batches, held_by_worker, held_out, release, settle
 
-#: Words of the core besides the end and the class of others; size of the vectors; noise samples a word (expected).
-WORDS, DIMENSIONS, NOISE = 510, 32, 10
-#: Weight of the prior on vectors, in tokens, and steps by which a vector outside the core is fitted.
-PRIOR, STEPS = 20.0, 5
-#: Words with at least this share of all tokens travel to every task; so there are at most as many as its inverse.
-SHARE = 1 / 50_000
+#: Classes besides the end: words of their own, endings of their own (bytes in an ending), and classes for other endings.
+SINGLES, ENDINGS, LETTERS, SPREAD = 255, 240, 3, 16
+#: Size of vectors, noise words a batch, tokens a batch, rounds over the corpus, and step size.
+DIMENSIONS, NOISE, BATCH, ROUNDS, RATE = 24, 32, 2048, 2, 0.1
 LN10 = float(np.log(10))
 
 
@@ -38,42 +40,136 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def log_softmax(score: np.ndarray) -> np.ndarray:
+    score = score - score.max(axis=-1, keepdims=True)
+    return score - np.log(np.exp(score).sum(axis=-1, keepdims=True))
+
+
+def summed_by(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """For each number below n, the sum of the rows whose number it is."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
+    out[ordered[begins]] = np.add.reduceat(rows[order], begins, axis=0)
+    return out
+
+
 class LogBilinear:
-    """The trained model. Number 0 is the end, 1 the class of other words, then `words` in their order."""
+    """The model's parameters, r, q (classes by dimensions), c (two matrices), b; and how they are trained."""
 
-    def __init__(self, words: list[str], pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, steps: int = 200, prior: float = PRIOR, seed: int = 7):
-        """pairs[h, w]: how often number w follows number h in training texts, where a text starts after an end."""
-        self.words = words
+    def __init__(self, shares: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7):
+        """shares: of each class among the training tokens, which are the noise distribution too."""
+        rng = np.random.default_rng(seed)
+        k = len(shares)
+        self.shares = (shares + 1e-9) / (shares + 1e-9).sum()
+        draw = lambda *n: rng.normal(0, 0.1, n).astype(np.float32)
+        self.p = {"r": draw(k, dimensions), "q": draw(k, dimensions), "c": np.stack([np.eye(dimensions), np.eye(dimensions) / 2]).astype(np.float32), "b": np.log(self.shares).astype(np.float32)}
+
+    def train(self, classes: np.ndarray, seed: int, state: dict | None = None) -> dict:
+        """One pass over a run of class numbers (0 ends a text), in batches; the squared slopes so far, for the next run."""
+        p, k = self.p, len(self.shares)
         rng = np.random.default_rng(seed)
-        v = len(pairs)
-        total = max(1.0, float(pairs.sum()))
-        joint = pairs / total  # P(h, w)
-        context = joint.sum(axis=1)
-        unigram = (joint.sum(axis=0) + 1e-9) / (1 + v * 1e-9)  # noise distribution
-        p = {"r": rng.normal(0, 0.1, (v, dimensions)), "q": rng.normal(0, 0.1, (v, dimensions)), "c": np.eye(dimensions), "b": np.log(unigram)}
-        first, second = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-        shrink = prior / total  # a normal prior on the vectors, which matters less the more text there is
-        against = np.log(noise * unigram)[None, :]
-        for step in range(1, steps + 1):
-            rc = p["r"] @ p["c"]
-            score = rc @ p["q"].T + p["b"]
-            true = 1 / (1 + np.exp(np.clip(against - score, -50, 50)))  # P(from the corpus | h, w)
-            # d/ds of  sum P(h, w) log true + noise * sum P(h) U(w) log(1 - true)
-            slope = joint * (1 - true) - noise * context[:, None] * unigram[None, :] * true
-            back = slope @ p["q"]
-            g = {"q": slope.T @ rc - shrink * p["q"], "b": slope.sum(axis=0), "r": back @ p["c"].T - shrink * p["r"], "c": p["r"].T @ back}
-            rate = 0.05 * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k in p:  # Adam
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-                p[k] += rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-        self.rc, self.q, self.b = (p["r"] @ p["c"]).astype(np.float32), p["q"].astype(np.float32), p["b"].astype(np.float32)
-
-    def log_probabilities(self) -> np.ndarray:
-        """Natural log P(w | h) for all h and w; every row sums to one as probabilities."""
-        score = (self.rc @ self.q.T + self.b).astype(np.float64)
-        score -= score.max(axis=1, keepdims=True)
-        return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+        state = state or {n: np.full_like(x, 1e-6) for n, x in p.items()}
+        first, second = before(classes)
+        against = np.log(NOISE * self.shares).astype(np.float32)
+        edges = np.cumsum(self.shares)
+        for begin in range(0, len(classes), BATCH):
+            w, g, h = (x[begin : begin + BATCH] for x in (classes, first, second))
+            noise = np.minimum(np.searchsorted(edges, rng.random(NOISE)), k - 1)
+            r1, r2 = p["r"] @ p["c"][0], p["r"] @ p["c"][1]
+            x = r1[g] + r2[h]
+            q, qn = p["q"][w], p["q"][noise]
+            true = np.einsum("ij,ij->i", x, q) + p["b"][w] - against[w]
+            false = x @ qn.T + (p["b"][noise] - against[noise])
+            up = (1 / (1 + np.exp(np.minimum(true, 50)))).astype(np.float32)  # slopes of log P(from the corpus) and of log P(noise)
+            down = (-1 / (1 + np.exp(np.minimum(-false, 50)))).astype(np.float32)
+            dx = up[:, None] * q + down @ qn
+            slope = {"q": summed_by(w, up[:, None] * x, k), "b": np.bincount(w, weights=up, minlength=k).astype(np.float32)}
+            np.add.at(slope["q"], noise, down.T @ x)
+            np.add.at(slope["b"], noise, down.sum(axis=0))
+            d1, d2 = summed_by(g, dx, k), summed_by(h, dx, k)
+            slope["r"] = d1 @ p["c"][0].T + d2 @ p["c"][1].T
+            slope["c"] = np.stack([p["r"].T @ d1, p["r"].T @ d2])
+            for n, s in slope.items():  # Adagrad
+                s /= len(w)
+                state[n] += s * s
+                p[n] = p[n] + RATE * s / np.sqrt(state[n])
+        return state
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[n].ravel() for n in ("r", "q", "c", "b")]).astype(np.float64)
+
+    def take(self, flat: np.ndarray) -> LogBilinear:
+        at = 0
+        for n in ("r", "q", "c", "b"):
+            size = self.p[n].size
+            self.p[n] = flat[at : at + size].reshape(self.p[n].shape).astype(np.float32)
+            at += size
+        return self
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """a[h, c] + e[g, c] - z[h, g] is the log-probability of class c after h (next to it) and g (before that); z by batches."""
+        p = self.p
+        a = p["r"] @ p["c"][0] @ p["q"].T + p["b"]
+        e = p["r"] @ p["c"][1] @ p["q"].T
+        z = np.empty((len(a), len(a)), dtype=np.float32)
+        for h in range(len(a)):
+            score = a[h] + e
+            top = score.max(axis=1)
+            z[h] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
+        return a, e, z
+
+    def log_probabilities(self, h: int, g: int) -> np.ndarray:
+        """Natural logs for all classes after h, and g before that; as probabilities they sum to one."""
+        p = self.p
+        return log_softmax((p["r"][h] @ p["c"][0] + p["r"][g] @ p["c"][1]).astype(np.float64) @ p["q"].T + p["b"])
+
+
+def before(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class before each token and the one before that, within its text; the end's where there is none."""
+    first = np.concatenate([[0], classes[:-1]])
+    second = np.concatenate([[0], first[:-1]])
+    return first, np.where(first == 0, 0, second)
+
+
+@dataclass
+class Model:
+    """All that scoring needs but the table of rarer words' counts: counts (h, c)."""
+
+    singles: list[str]
+    endings: list[bytes]
+    frequent: dict[str, int]
+    tokens: int
+    distinct: int
+    ends: int
+    masses: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    kinds: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    bilinear: LogBilinear | None = None
+    counts: DataFrame | None = None
+
+    @property
+    def classes(self) -> int:
+        return 1 + SINGLES + ENDINGS + SPREAD
+
+    def ending_class(self, ending: bytes) -> int:
+        at = self._endings.get(ending)
+        return 1 + SINGLES + at if at is not None else 1 + SINGLES + ENDINGS + zlib.crc32(ending) % SPREAD
+
+    def class_of(self, word: bytes) -> int:
+        """The class of a word that is not a class of its own."""
+        return self.ending_class(word[-LETTERS:])
+
+    def within(self, of_class: int, c: float) -> float:
+        """P(a word with so many training tokens | its class, which has more words than one)."""
+        return (c + 1) / (self.masses[of_class] + self.kinds[of_class] + 1)
+
+    @property
+    def _endings(self) -> dict[bytes, int]:
+        found = self.__dict__.get("_known")
+        if found is None:
+            found = self.__dict__["_known"] = {e: i for i, e in enumerate(self.endings)}
+        return found
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -93,7 +189,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 for t in texts:
                     kept.update(words_of(t))
                 kept[b""] += len(texts)
-                if len(kept) > 400_000:
+                if len(kept) > 500_000:
                     yield from out()
         yield from out()
 
@@ -101,325 +197,186 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return slim.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(docs: DataFrame, words: list[str], text_col: str = "text") -> np.ndarray:
-    """How often each model word follows each other, over all texts; each task adds up its own before the shuffle."""
-    number = {w.encode(): i + 2 for i, w in enumerate(words)}
-    v = len(words) + 2
-
-    def count(parts):
-        import pyarrow as pa
+class _Names:
+    """What a task needs to number words and to class them: the frequent words, and the model without its tables."""
 
-        total = np.zeros(v * v, dtype=np.int64)
-        for part in parts:
-            for _, texts in batches(part.column("text")):
-                ids = [0]
-                for t in texts:
-                    ids += [number.get(w, 1) for w in words_of(t)]
-                    ids.append(0)
-                a = np.array(ids, dtype=np.int64)
-                total += np.bincount(a[:-1] * v + a[1:], minlength=v * v)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "c"])
+    def __init__(self, model: Model):
+        self.name, self.model = uuid.uuid4().hex, model
 
-    slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    summed = slim.mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
-    out = np.zeros(v * v)
-    for r in summed.toLocalIterator():
-        out[r["pair"]] = r["c"]
-    return out.reshape(v, v)
+    def ready(self) -> _Names:
+        m = self.model
+        self.order = [w.encode() for w in sorted(m.frequent)]
+        own = {w.encode(): i + 1 for i, w in enumerate(m.singles)}
+        self.classes = [0, *(own.get(w) or m.class_of(w) for w in self.order)]
+        return self
 
 
-class _Names:
-    """What a task needs to number words: 0 the end, 1 words looked up elsewhere, then the frequent ones; and their places in the core."""
-
-    def __init__(self, core: list[str], frequent: dict[str, int]):
-        self.name, self.core, self.frequent = uuid.uuid4().hex, core, frequent
+class _Scorer(_Names):
+    """Also the costs of frequent words, and the model's parts."""
 
-    def ready(self):
-        places = {w: i + 2 for i, w in enumerate(self.core)}
-        self.order = sorted(self.frequent)
-        self.entry = {w.encode(): i + 2 for i, w in enumerate(self.order)}
-        self.number = np.array([0, 1, *(places.get(w, 1) for w in self.order)])
+    def ready(self) -> _Scorer:
+        super().ready()
+        m = self.model
+        every = m.tokens + m.distinct + 1
+        c = np.array([m.ends, *(m.frequent[w.decode()] for w in self.order)], dtype=np.float64)
+        self.base = np.log10((c + 1) / every)
+        at = np.array(self.classes)
+        self.inside = np.log10((m.masses + m.kinds + 1).astype(np.float64))
+        self.word = np.where(at <= SINGLES, 0.0, np.log10(c + 1) - self.inside[at])
+        self.unit = float(np.log10(every))
+        self.a, self.e, self.z = m.bilinear.parts()
         return self
 
+    def class_scores(self, classes: np.ndarray) -> np.ndarray:
+        """log10 P(class | the two before) of a run of tokens."""
+        h, g = before(classes)
+        return (self.a[h, classes] + self.e[g, classes] - self.z[h, g]).astype(np.float64) / LN10
+
 
 def _ready(told):
     return held_by_worker(told.value.name, lambda: told.value.ready())
 
 
-def norms(model: LogBilinear, x: np.ndarray) -> np.ndarray:
-    """Log of the sum over all places, for each vector."""
-    out = np.zeros(len(x))
-    for i in range(0, len(x), 2000):
-        score = x[i : i + 2000] @ model.q.T + model.b
-        top = score.max(axis=1)
-        out[i : i + 2000] = top + np.log(np.exp(score - top[:, None]).sum(axis=1, dtype=np.float64))
-    return out
+def _classed(blocks: rare.Blocks, classes: list[int], model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, classes and sizes of a batch of texts, each with its end; classes grows by the words met first."""
+    look, ids, sizes = blocks.numbers.__getitem__, [], []
+    for t in texts:
+        found = list(map(look, words_of(t)))
+        ids += found
+        ids.append(0)
+        sizes.append(len(found) + 1)
+    for w in blocks.numbers.added[len(classes) - blocks.numbers.first :]:
+        classes.append(model.class_of(w))
+    at = np.array(ids, dtype=np.int64)
+    return at, np.array(classes, dtype=np.int16)[at], np.array(sizes)
 
 
-def class_pairs(docs: DataFrame, told, text_col: str = "text") -> DataFrame:
-    """word, side, core, c: how often each word outside the core has a place of the core after it (side 0) and before it (1)."""
+def one_round(docs: DataFrame, told, seed: int, text_col: str = "text") -> np.ndarray:
+    """The mean of the parameters that the tasks arrive at, each from the model told, over its own texts."""
 
-    def count(parts):
+    def work(parts):
         import pyarrow as pa
 
         s = _ready(told)
-        entry, number, kept = s.entry.get, s.number.tolist(), Counter()
-
-        def out():
-            words, sides, cores = zip(*kept, strict=True) if kept else ((), (), ())
-            cols = [pa.array(words, pa.binary()).cast(pa.string()), pa.array(sides, pa.int32()), pa.array(cores, pa.int32()), pa.array(kept.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["word", "side", "core", "c"])
-            kept.clear()
-
+        mine = LogBilinear(s.model.bilinear.shares, s.model.bilinear.p["r"].shape[1]).take(s.model.bilinear.flat())
+        blocks, classes, state, tokens = rare.Blocks(s.order), list(s.classes), None, 0
         for part in parts:
             for _, texts in batches(part.column("text")):
-                for t in texts:
-                    split = words_of(t)
-                    at = [number[entry(w, 1)] for w in split]
-                    kept.update([(w, 0, n) for w, e, n in zip(split, at, [*at[1:], 0], strict=False) if e == 1])
-                    kept.update([(w, 1, n) for w, e, n in zip(split, at, [0, *at], strict=False) if e == 1])
-                    if len(kept) > 300_000:
-                        yield from out()
-        yield from out()
+                _, run, _ = _classed(blocks, classes, s.model, texts)
+                state = mine.train(run, seed + tokens + TaskContext.get().partitionId(), state)
+                tokens += len(run)
+                if len(blocks.numbers.added) > rare.BLOCK_WORDS:
+                    blocks.numbers.forget()
+                    del classes[blocks.numbers.first :]
+        if tokens:
+            flat = mine.flat()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * tokens), pa.array(np.full(len(flat), tokens))], ["k", "x", "n"])
 
     slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(count, "word string, side int, core int, c long").groupBy("word", "side", "core").agg(F.sum("c").alias("c"))
-
-
-def fit_vectors(model: LogBilinear, counts: np.ndarray, prior: float = PRIOR, steps: int = STEPS) -> np.ndarray:
-    """A vector for each row of counts (of the core's places), with the model's others as they are and its class as prior.
-
-    Steps are Newton's with the curvature at the class, cut so that no score changes by more than two at once.
-    """
-    q, b, start = model.q, model.b, model.rc[1]
-    p = np.exp(log_softmax(start[None, :] @ q.T + b))[0]
-    bent, axes = np.linalg.eigh((q.T * p) @ q - np.outer(p @ q, p @ q))
-    bent, axes, n = bent.astype(np.float32).clip(0), axes.astype(np.float32), counts.sum(axis=1, keepdims=True)
-    x = np.repeat(start[None, :], len(counts), axis=0)
-    for _ in range(steps):
-        back = (counts - n * np.exp(log_softmax(x @ q.T + b))) @ q - prior * (x - start)
-        move = ((back @ axes) / (prior + n * bent)) @ axes.T
-        x += move * np.minimum(1, 2 / (np.abs(move @ q.T).max(axis=1, keepdims=True) + 1e-9))
-    return x
-
-
-def log_softmax(score: np.ndarray) -> np.ndarray:
-    score = score - score.max(axis=1, keepdims=True)
-    return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
-
-
-def class_vectors(pairs: DataFrame, told) -> DataFrame:
-    """word, c, after, before, zx, zy: both vectors of every word outside the core, as raw 16-bit numbers, and their norms.
-
-    A word has at most a row for each side and place, so no key is hot. Words met once have one of few vectors a side,
-    which each task fits once.
-    """
-
-    def fit(parts):
-        import pyarrow as pa
-
-        models = told.value
-        v = len(models[0].b)
-
-        def fitted(m, counts):
-            x = fit_vectors(m, counts).astype(np.float16)
-            return x, norms(m, x.astype(np.float32))
-
-        once = [fitted(m, np.eye(v, dtype=np.float32)) for m in models]
-        for whole in parts:
-            for begin in range(0, len(whole), 4000):
-                part = whole.slice(begin, 4000)
-                lists = part.column("pairs")
-                flat, n = lists.flatten(), len(part)
-                row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-                side, core, c = (flat.field(k).to_numpy() for k in ("side", "core", "c"))
-                total = np.bincount(row, weights=c * (side == 0), minlength=n).astype(np.int64)
-                cols = [part.column("word"), pa.array(total)]
-                place = np.cumsum(total > 1) - 1
-                for k, m in enumerate(models):
-                    mine = side == k
-                    x, z = np.empty((n, m.q.shape[1]), dtype=np.float16), np.empty(n)
-                    alone, many = mine & (total[row] == 1), mine & (total[row] > 1)
-                    x[row[alone]], z[row[alone]] = once[k][0][core[alone]], once[k][1][core[alone]]
-                    counts = np.zeros((int((total > 1).sum()), v), dtype=np.float32)
-                    counts[place[row[many]], core[many]] = c[many]
-                    x[total > 1], z[total > 1] = fitted(m, counts)
-                    cols += [pa.array([r.tobytes() for r in x], pa.binary()), pa.array(z)]
-                yield pa.RecordBatch.from_arrays(cols, ["word", "c", "after", "zx", "before", "zy"])
-
-    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("side", "core", "c")).alias("pairs"))
-    return listed.mapInArrow(fit, "word string, c long, after binary, zx double, before binary, zy double")
-
-
-def vectors_of(column, missing: np.ndarray) -> np.ndarray:
-    """Raw vectors of an Arrow column as a matrix; nulls are the missing one."""
-    blank = missing.astype(np.float16).tobytes()
-    return np.frombuffer(b"".join(blank if x is None else x for x in column.to_pylist()), dtype=np.float16).reshape(len(column), -1).astype(np.float32)
-
-
-def class_sums(vectors: DataFrame, told, size: int) -> np.ndarray:
-    """Z: for each place before, the sum over all words of the class, and one that training never met, of U(w) P(h | w)."""
-
-    def add(parts):
-        import pyarrow as pa
-
-        back = told.value[1]
-        total = np.zeros(len(back.b))
-        for whole in parts:
-            for begin in range(0, len(whole), 2000):
-                part = whole.slice(begin, 2000)
-                y = vectors_of(part.column("before"), back.rc[1])
-                p = np.exp(y @ back.q.T + back.b - part.column("zy").to_numpy()[:, None].astype(np.float32))
-                total += ((part.column("c").to_numpy() + 1) / size) @ p
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "z"])
-
-    back = told.value[1]
-    out = np.exp(log_softmax(back.rc[1][None, :] @ back.q.T + back.b))[0].astype(np.float64) / size
-    for r in vectors.select("c", "before", "zy").mapInArrow(add, "place long, z double").groupBy("place").agg(F.sum("z").alias("z")).collect():
-        out[r["place"]] += r["z"]
+    found = slim.mapInArrow(work, "k long, x double, n long").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
+    out = told.value.model.bilinear.flat()
+    out[found["k"].to_numpy()] = found["x"].to_numpy()
     return out
 
 
-class _Scorer(_Names):
-    """What a task needs: both models, the frequent words' numbers, costs and vectors, and the sums Z."""
-
-    def __init__(self, core: list[str], frequent: dict[str, int], forth: LogBilinear, back: LogBilinear, vectors: dict[str, tuple[bytes, bytes]], sums: np.ndarray, tokens: int, distinct: int, ends: int, size: int):
-        super().__init__(core, frequent)
-        self.forth, self.back, self.vectors, self.sums, self.tokens, self.distinct, self.ends, self.size = forth, back, vectors, sums, tokens, distinct, ends, size
+def train(docs: DataFrame, text_col: str = "text", singles: int = SINGLES, rounds: int = ROUNDS) -> Model:
+    """Counts and a trained model from all texts of docs (null: empty). The driver gets frequent words, endings and sums only."""
+    counts = settle(word_counts(docs, text_col), "words")
+    row = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == "", F.col("c")))).first()
+    tokens, distinct, ends = (x or 0 for x in row)
+    frequent = {r["word"]: r["c"] for r in counts.where((F.col("c") >= tokens * rare.SHARE) & (F.col("word") != "")).collect()}
+    own = sorted(frequent, key=lambda w: (-frequent[w], w))[: min(singles, SINGLES)]
+    ending = F.substring(F.encode("word", "UTF-8"), -LETTERS, LETTERS)
+    spark = docs.sparkSession
+    mine = F.broadcast(spark.createDataFrame([(w,) for w in [*own, ""]], "word string"))
+    by_ending = settle(counts.join(mine, "word", "left_anti").groupBy(ending.alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("n")), "endings")
+    top = [bytes(r["ending"]) for r in by_ending.orderBy(F.desc("c"), "ending").limit(ENDINGS).collect()]
+    model = Model(own, top, frequent, tokens, distinct, ends, counts=counts.where((F.col("c") < tokens * rare.SHARE) & (F.col("word") != "")).select(rare.hashed("word").alias("h"), "c"))
+    place: Column = F.coalesce(F.col("at"), F.lit(1 + SINGLES + ENDINGS) + F.crc32("ending") % SPREAD)
+    known = spark.createDataFrame([(bytearray(e), 1 + SINGLES + i) for i, e in enumerate(top)], "ending binary, at long")
+    masses, kinds = np.zeros(model.classes), np.zeros(model.classes)
+    for r in by_ending.join(F.broadcast(known), "ending", "left").groupBy(place.alias("k")).agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
+        masses[r["k"]], kinds[r["k"]] = r["c"], r["n"]
+    masses[0] = ends
+    for i, w in enumerate(own):
+        masses[i + 1] = frequent[w]
+    model.masses, model.kinds = masses, kinds
+    model.bilinear = LogBilinear((masses + 1) / (masses + 1).sum())
+    for k in range(rounds if tokens else 0):
+        told = spark.sparkContext.broadcast(_Names(_bare(model)))
+        model.bilinear.take(one_round(docs, told, 1 + k, text_col))
+        told.destroy()
+    return model
+
+
+def _bare(model: Model) -> Model:
+    """The model without its table, to travel with tasks."""
+    return Model(model.singles, model.endings, model.frequent, model.tokens, model.distinct, model.ends, model.masses, model.kinds, model.bilinear)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs; see score_documents."""
+    told = docs.sparkSession.sparkContext.broadcast(_Scorer(_bare(model)))
+    names = ["doc_id", "uid", "n_tokens", "n_known", "base", "lp", "h", "block", "texts"]
+
+    def scan(parts):
+        import pyarrow as pa
 
-    def ready(self) -> _Scorer:
-        super().ready()
-        base = lambda c: np.log10((c + 1) / (self.tokens + self.distinct + 1))
-        self.base = np.array([base(self.ends), 0.0, *(base(self.frequent[w]) for w in self.order)])
-        self.x, self.y = self.forth.rc[self.number].copy(), np.repeat(self.back.rc[1][None, :], len(self.number), axis=0)
-        self.u = np.zeros(len(self.number))
-        for i, w in enumerate(self.order, 2):
-            if self.number[i] == 1:
-                self.x[i], self.y[i] = (np.frombuffer(v, dtype=np.float16) for v in self.vectors[w])
-                self.u[i] = np.log((self.frequent[w] + 1) / self.size)
-        self.zx, self.zy, self.log_sums = norms(self.forth, self.x), norms(self.back, self.y), np.log(self.sums)
-        return self
+        s = _ready(told)
+        m = s.model
+        blocks, classes = rare.Blocks(s.order), list(s.classes)
+        ended = int(m.tokens > 0)
 
-    def following(self, x: np.ndarray, zx: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """log P(place | the word of vector x before it)."""
-        return np.einsum("ij,ij->i", x, self.forth.q[place]) + self.forth.b[place] - zx
+        def out():
+            h, block, texts = blocks.rows()
+            del classes[blocks.numbers.first :]
+            for i in range(0, len(h), 50_000):
+                cut = [a.slice(i, 50_000) for a in (h, block, texts)]
+                n = len(cut[0])
+                blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*blank, *cut], names)
 
-    def within(self, y: np.ndarray, zy: np.ndarray, u: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log P(the word of vector y | it is outside the core, the place before it)."""
-        return u + np.einsum("ij,ij->i", y, self.back.q[before]) + self.back.b[before] - zy - self.log_sums[before]
+        for part in parts:
+            for begin, texts in batches(part.column("text")):
+                at, run, sizes = _classed(blocks, classes, m, texts)
+                uid = blocks.add(at, sizes, sum(map(len, texts)))
+                seen = at < blocks.numbers.first
+                word = np.where(seen, at, 0)
+                starts = np.cumsum(sizes) - sizes
+                add = lambda x, a=starts: np.add.reduceat(x, a)
+                lp = s.class_scores(run) + np.where(seen, s.word[word], -s.inside[run])
+                base = np.where(seen, s.base[word], -s.unit)
+                known = np.where(at == 0, ended, seen.astype(np.int64))
+                n = len(texts)
+                blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+                cols = [part.column("doc_id").slice(begin, n), *map(pa.array, (uid, sizes, add(known), add(base), add(lp)))]
+                yield pa.RecordBatch.from_arrays([*cols, *blank], names)
+                if blocks.full:
+                    yield from out()
+        if blocks.texts:
+            yield from out()
+
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    laid = settle(slim.mapInArrow(scan, f"doc_id long, uid long, n_tokens long, n_known long, base double, lp double, {rare.SCHEMA}"), "scored")
+    release(docs.sparkSession)
+    table = model.counts.select("h", F.array(F.log10(F.col("c") + 1), F.lit(1.0)).alias("x"))
+    more = rare.sums(laid.where("h is not null").select("h", "block", "texts"), table, 2)
+    of = lambda k: F.coalesce(F.col("sums")[k], F.lit(0.0))
+    return laid.where("uid is not null").drop("h", "block", "texts").join(more, "uid", "left").select(
+        "doc_id", "n_tokens", (F.col("n_known") + of(1).cast("long")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + of(0)).alias("base_score"), (F.col("lp") + of(0)).alias("score"),
+    )
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", singles: int = SINGLES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
-    The models, vectors and counts come from rows that are not held out. Every text ends with a token of its own, so null
-    and empty texts have one token. base_score and score are sums of log10 probabilities: of smoothed single words, and
-    of the model. Frequent words are scored where the text is read; the others leave as (row, word, place before, place
-    after, times) and meet their counts and vectors in a join. Each of them has less than SHARE of all training tokens,
-    so no key of that join is hot, and a word that training never met is as rare as its own documents make it. Repeated
-    rows are scored separately. Without training rows the counts are zero and the model knows only the class of others.
+    The model and counts come from rows that are not held out. Every text ends with a token of its own, so null and empty
+    texts have one token. base_score and score are sums of log10 probabilities: of smoothed single words, and of the
+    model. Repeated rows are scored separately. Without training rows the counts are zero and the model is as it starts;
+    an empty table gives an empty one. Other columns are ignored.
     """
     out = held_out(id_col, 7)
-    training = docs.where(~out)
-    counts = settle(word_counts(training, text_col), "words")
-    sums = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long")), F.sum(F.when(F.col("word") == "", F.col("c")))).first()
-    tokens, distinct, ends = (x or 0 for x in sums)
-    frequent = {r["word"]: r["c"] for r in counts.where((F.col("c") >= tokens * SHARE) & (F.col("word") != "")).collect()}
-    known = sorted(frequent, key=lambda w: (-frequent[w], w))[:words]
-    pairs = pair_counts(training, known, text_col)
-    forth, back = LogBilinear(known, pairs), LogBilinear(known, pairs.T)
-    in_model = sum(frequent[w] for w in known)
-    size = tokens - ends - in_model + distinct - (ends > 0) - len(known) + 1
-    share = docs.sparkSession.sparkContext.broadcast
-    models = share((forth, back))
-    vectors = settle(class_vectors(class_pairs(training, share(_Names(known, frequent)), text_col), models), "vectors")
-    chosen = docs.sparkSession.createDataFrame([(w,) for w in set(frequent).difference(known)], "word string")
-    mine = {r["word"]: (bytes(r["after"]), bytes(r["before"])) for r in vectors.join(F.broadcast(chosen), "word").toLocalIterator()}
-    told = share(_Scorer(known, frequent, forth, back, mine, class_sums(vectors, models, size), tokens, distinct, ends, size))
-
-    def score(parts):
-        import pyarrow as pa
-
-        s = _ready(told)
-        entry, number = s.entry.get, s.number.tolist()
-        uid = TaskContext.get().partitionId() << 33
-        for part in parts:
-            for begin, texts in batches(part.column("text")):
-                ids, sizes, rows, rare, places, times = [], [], [], [], [], []
-                for i, t in enumerate(texts):
-                    split = words_of(t)
-                    mine = [entry(w, 1) for w in split]
-                    if 1 in mine:
-                        at = [number[e] for e in mine]
-                        met = Counter([(w, p, n) for w, e, p, n in zip(split, mine, [0, *at], [*at[1:], 0], strict=False) if e == 1])
-                        rare += [w for w, _, _ in met]
-                        places += [(p, n) for _, p, n in met]
-                        times += met.values()
-                        rows += [uid + i] * len(met)
-                    ids += mine
-                    ids.append(0)
-                    sizes.append(len(mine) + 1)
-                at = np.array(ids, dtype=np.int64)
-                numbers = s.number[at]
-                before = np.concatenate([[0], at[:-1]])
-                lp = np.zeros(len(at))
-                for begun in range(0, len(at), 100_000):
-                    cut = slice(begun, begun + 100_000)
-                    h, w, place = before[cut], at[cut], numbers[cut]
-                    lp[cut] = np.where(h == 1, 0.0, s.following(s.x[h], s.zx[h], place))
-                    out_ = np.flatnonzero((place == 1) & (w != 1))
-                    lp[cut][out_] += s.within(s.y[w[out_]], s.zy[w[out_]], s.u[w[out_]], s.number[h[out_]])
-                lp /= LN10
-                stops = np.cumsum(sizes)
-                starts = stops - sizes
-                add = lambda x, a=starts: np.add.reduceat(x, a)
-                n = len(texts)
-                every, ended = np.array(sizes, dtype=np.int64), tokens > 0
-                cols = {
-                    "uid": np.concatenate([np.arange(uid, uid + n), np.array(rows, dtype=np.int64)]),
-                    "n_tokens": np.concatenate([every, np.zeros(len(rows), dtype=np.int64)]),
-                    "n_known": np.concatenate([add((at > 1).astype(np.int64)) + int(ended), np.zeros(len(rows), dtype=np.int64)]),
-                    "base": np.concatenate([add(s.base[at]), np.zeros(len(rows))]),
-                    "lp": np.concatenate([add(lp), np.zeros(len(rows))]),
-                    "times": np.concatenate([np.zeros(n, dtype=np.int64), np.array(times, dtype=np.int64)]),
-                    "previous": np.concatenate([np.zeros(n, dtype=np.int32), np.array([p for p, _ in places], dtype=np.int32)]),
-                    "next": np.concatenate([np.zeros(n, dtype=np.int32), np.array([x for _, x in places], dtype=np.int32)]),
-                }
-                uid += n
-                blank = pa.nulls(len(rows), pa.int64())
-                ids_ = pa.concat_arrays([part.column("doc_id").slice(begin, n), blank])
-                held = pa.concat_arrays([part.column("held_out").slice(begin, n), pa.nulls(len(rows), pa.bool_())])
-                word = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(rare, pa.binary()).cast(pa.string())])
-                yield pa.RecordBatch.from_arrays([ids_, held, *map(pa.array, cols.values()), word], ["doc_id", "held_out", *cols, "word"])
-
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    laid = settle(slim.mapInArrow(score, "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, lp double, times long, previous int, next int, word string"), "scored")
-
-    def rare_words(parts):
-        import pyarrow as pa
-
-        s = _ready(told)
-        unmet = [float(norms(m, m.rc[1:2].astype(np.float16).astype(np.float32))[0]) for m in (s.forth, s.back)]
-        for whole in parts:
-            for begin in range(0, len(whole), 20_000):
-                part = whole.slice(begin, 20_000)
-                c, times = part.column("c").fill_null(0).to_numpy(), part.column("times").to_numpy()
-                x, y = vectors_of(part.column("after"), s.forth.rc[1]), vectors_of(part.column("before"), s.back.rc[1])
-                zx, zy = (part.column(k).fill_null(z).to_numpy() for k, z in (("zx", unmet[0]), ("zy", unmet[1])))
-                lp = s.following(x, zx, part.column("next").to_numpy())
-                lp += s.within(y, zy, np.log((c + 1) / s.size), part.column("previous").to_numpy())
-                cols = [part.column("uid"), pa.array(times * np.log10((c + 1) / (s.tokens + s.distinct + 1))), pa.array(times * lp / LN10), pa.array(np.where(c > 0, times, 0))]
-                yield pa.RecordBatch.from_arrays(cols, ["uid", "base", "lp", "n_known"])
-
-    seen = vectors.where(F.col("c") < tokens * SHARE)
-    rare = (
-        laid.where("word is not null").select("uid", "word", "times", "previous", "next").join(seen, "word", "left")
-        .select("uid", "word", "times", "previous", "next", "c", "after", "zx", "before", "zy").mapInArrow(rare_words, "uid long, base double, lp double, n_known long")
-        .groupBy("uid").agg(F.sum("base").alias("base2"), F.sum("lp").alias("lp2"), F.sum("n_known").alias("known2"))
-    )
-    zero = F.lit(0)
-    return laid.where("word is null").join(rare, "uid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known2", zero)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base2", zero)).alias("base_score"), (F.col("lp") + F.coalesce("lp2", zero)).alias("score"),
-    )
+    model = train(docs.where(~out), text_col, singles)
+    told = score(docs, model, id_col, text_col)
+    return told.select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

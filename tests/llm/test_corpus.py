@@ -86,21 +86,66 @@ def test_language_of_held_out_documents(docs):
     assert sum(a == b for a, b in out) >= 0.97 * len(out)
 
 
-def test_language_backs_off():
-    rows = [("en", 0, "the", 9), ("en", 1, "t", 9), ("en", 2, " t", 9), ("de", 0, "der", 9), ("de", 1, "d", 9), ("de", 3, "der", 5)]
-    model = language.Model(rows, {(x, n): 10 for x in ("en", "de") for n in range(5)})
-    score = language.Scorer(model).predict
-    assert score("the THE")[0] == "en" and score("wieder")[0] == "de" and score("tttt")[0] == "en"
-    assert score("123 !")[0] == "und" and score("")[0] == "und" and language.Scorer(language.Model([], {})).predict("word") == ("und", 0.0)
+def plain_language(rows, asked):
+    """Language and posterior of texts by plain Python, from (lang, text) rows."""
+    import regex
+
+    find = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+    words = collections.defaultdict(collections.Counter)
+    for lang, text in rows:
+        for piece in (text or "").lower().split():
+            words[lang].update(find(piece))
+    words = {x: c for x, c in words.items() if c}
+    grams = {(x, n): collections.Counter() for x in words for n in range(1, 5)}
+    for lang, counted in words.items():
+        for w, c in counted.items():
+            for n in range(1, 5):
+                for g in [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else w:
+                    grams[lang, n][g] += c
+    cost = lambda table, x: [min(7.0, -math.log10(t[x] / sum(t.values()))) if t[x] else 7.0 for t in table]
+    order = sorted(words)
+
+    def of_word(w):
+        if any(words[x][w] for x in order):
+            return cost([words[x] for x in order], w)
+        for n in (4, 3, 2, 1):
+            table = [grams[x, n] for x in order]
+            mine = [g for g in ([f" {w} "[i : i + n] for i in range(len(w) + 3 - n)] if n > 1 else w) if any(t[g] for t in table)]
+            if mine:
+                return np.mean([cost(table, g) for g in mine], axis=0)
+        return [7.0] * len(order)
 
-
-def test_words_kept_in_one_language_cost_their_own_in_others(spark):
-    """A word below the share in the larger language, but kept in the smaller, costs what its count there says."""
-    rows = [("en", "the " * 60_000 + "zug"), ("de", "zug " * 10)]
-    model = language.train(spark.createDataFrame(rows, "lang string, text string"))
-    assert model.languages == ["de", "en"]
-    assert model.words["zug"] == pytest.approx([0.0, math.log10(60_001)])
-    assert model.grams[3]["zug "] == pytest.approx([math.log10(3 - 1), math.log10(2 * 60_000 + 2)])
+    out = []
+    for text in asked:
+        found = [w for piece in (text or "").lower().split() for w in find(piece)]
+        if not found or not order:
+            out.append(("und", 0.0))
+            continue
+        total = np.sum([of_word(w) for w in found], axis=0)
+        out.append((order[int(total.argmin())], 1 / np.exp(-np.minimum(700, (total - total.min()) * math.log(10))).sum()))
+    return out
+
+
+def test_language_equals_plain_python(spark, monkeypatch):
+    """With words looked up in the scan and joined, and known and unknown ones."""
+    from chunkloom.llm import rare
+
+    monkeypatch.setattr(rare, "SHARE", 1 / 20)
+    taught = [("en", "the cat sat, on the mat"), ("en", "the (dog) sat"), ("de", "der hund sa\u00df auf der matte"), ("de", "zug um zug"), ("fr", "le chat dort l'\u00e9t\u00e9"), (None, "the the the")]
+    asked = ["the hat", "derhund", "zugig", "chatte", "qqq \u65e5\u672c", "123 !", "", None, "sat zug", "the-cat l'hund", "t"]
+    rows = [(1 + i, t, x) for i, (x, t) in enumerate(taught)] + [(100 + i, t, None) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, model).collect()}
+    want = plain_language([r for r in taught if r[0]], [t for _, t, _ in rows])
+    for (i, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[i][1] == pytest.approx(score, abs=1e-4)
+        assert got[i][0] == lang or score < 0.5
+    other = docs.where("doc_id >= 100").repartition(2)
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(other, model).collect()}
+    assert again.keys() == {i for i in got if i >= 100} and all(again[i][1] == pytest.approx(got[i][1], abs=1e-6) for i in again)
+    kept = {r["doc_id"] for r in language.keep_known(docs, model, 0.9).collect()}
+    assert kept == {i for i, (lang, score) in got.items() if lang != "und" and score >= 0.9}
 
 
 def test_language_odd(odd, empty):
@@ -192,27 +237,48 @@ def test_scores(odd, docs, empty):
     assert lm.score_documents(odd).count() == len(ODD) and lm.score_documents(empty).count() == 0
 
 
-def test_model_is_normalised_and_learns():
-    pairs = np.full((6, 6), 1.0)
-    pairs[2, 3] = pairs[3, 2] = 500
-    model = lm.LogBilinear(["a", "b", "c", "d"], pairs)
-    p = np.exp(model.log_probabilities())
-    assert np.allclose(p.sum(axis=1), 1) and p[2, 3] > 0.9 and p[3, 2] > 0.9
-
-
-def test_words_outside_the_core_have_vectors(spark):
-    """With two words in the core, a word outside still tells what follows it, and what it follows, by its own pairs."""
-    texts = ["a left", "b right", "left a", "right b"]
-    rows = [(i, " ".join([texts[i % 2]] * 3 + ["x%d" % i])) for i in range(1500)]
-    ids = [i for i in range(5000, 9000) if held(i, 7)]
-    asked = dict(zip(ids, ["a left a left", "a right a right", "b right b right", "b left b left"], strict=False))
-    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows + list(asked.items()), "doc_id long, text string"), words=2).collect()}
-    straight, crossed, straight2, crossed2 = (got[i] for i in asked)
-    assert straight > crossed + 1 and straight2 > crossed2 + 1
-    forth = lm.LogBilinear(["a", "b"], np.full((4, 4), 5.0))
-    counts = np.array([[0, 0, 300, 1], [0, 0, 1, 300], [1, 1, 1, 1]], dtype=np.float32)
-    p = np.exp(lm.log_softmax(lm.fit_vectors(forth, counts, prior=1e-3, steps=50) @ forth.q.T + forth.b))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5) and p[0, 2] > p[1, 2] and p[1, 3] > p[0, 3]
+def test_score_equals_plain_python(spark, monkeypatch):
+    """From the model's parameters, one token after another, with words looked up in the scan, joined and unseen."""
+    from chunkloom.llm import rare
+
+    monkeypatch.setattr(rare, "SHARE", 1 / 30)
+    rows = [(i, f"the cat w{i % 17} sat on the mat x{i}") for i in range(60)] + [(100, None), (101, ""), (102, "never met words sat")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = lm.train(df.where("doc_id < 50"), singles=2)
+    counts = collections.Counter(w for i, t in rows if i < 50 for w in lm.words_of(t))
+    assert model.singles == ["the", "cat"] and model.tokens == sum(counts.values()) + 50 and 0 < len(model.frequent) < len(counts)
+    assert np.isclose(sum(model.masses), model.tokens)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, model).collect()}
+    for i, t in rows:
+        h = g = 0
+        total = 0.0
+        for w in [*lm.words_of(t or ""), b""]:
+            single = w.decode() in model.singles
+            k = 0 if not w else 1 + model.singles.index(w.decode()) if single else model.class_of(w)
+            p = np.exp(model.bilinear.log_probabilities(h, g))
+            assert np.isclose(p.sum(), 1)
+            total += math.log10(p[k]) + (0 if single or not w else math.log10(model.within(k, counts[w])))
+            h, g = k, h
+        assert got[i] == pytest.approx(total, abs=1e-3)
+    for k in set(map(model.class_of, counts)):  # the words of a class and one that was never met share it
+        mine = [c for w, c in counts.items() if w.decode() not in model.singles and model.class_of(w) == k]
+        assert sum(model.within(k, c) for c in mine) + model.within(k, 0) == pytest.approx(1)
+
+
+def test_context_is_learned():
+    """Estimated by noise, the model tells what follows from the word before and from the one before that."""
+    run = np.array([1, 2, 3, 0, 4, 2, 5, 0] * 4000)
+    model = lm.LogBilinear(np.bincount(run, minlength=8) / len(run))
+    state = model.train(run, 1)
+    model.train(run, 2, state)
+    p = np.exp(model.log_probabilities(2, 1)), np.exp(model.log_probabilities(2, 4)), np.exp(model.log_probabilities(1, 0))
+    assert p[0][3] > 0.7 and p[1][5] > 0.7 and p[2][2] > 0.7
+    a, e, z = model.parts()
+    assert np.allclose(a[2] + e[1] - z[2, 1], model.log_probabilities(2, 1), atol=1e-4)
+
+
+def test_the_second_word_starts_anew_in_each_text():
+    assert [x.tolist() for x in lm.before(np.array([3, 4, 0, 5, 6, 0]))] == [[0, 3, 4, 0, 5, 6], [0, 0, 3, 0, 0, 5]]
 
 
 # --- fingerprints
