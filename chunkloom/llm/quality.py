@@ -1,8 +1,9 @@
 """Quality rules by weak supervision: rules vote good, bad or abstain, and a latent-class model weighs the votes.
 
 Votes are gathered as counts of vote patterns over the whole corpus, of which there can be at most 3 ** len(RULES), so
-expectation-maximisation on the driver works on a table of fixed size. It estimates each rule's accuracy, and a
-document's posterior probability of being good, rather than a clean sheet under every rule, then decides.
+expectation-maximisation on the driver works on a table of fixed size. It estimates the share of good documents and how
+each rule votes on good and on bad ones. A document's posterior probability of being good, rather than a clean sheet under
+every rule, then decides.
 """
 
 from __future__ import annotations
@@ -21,40 +22,36 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes -1 (bad) where value is outside `fair`, 1 (good) where it is in `good` if that is given, else abstains.
+    """Votes -1 (bad) where value is outside `fair`, 1 (good) where it is in `good`, else it abstains.
 
-    trust is the accuracy expected of it beforehand.
+    slip is how often it is expected beforehand to object to a good document.
     """
 
     name: str
     value: Column
     fair: tuple[float, float]
-    good: tuple[float, float] | None
-    trust: float
+    good: tuple[float, float]
+    slip: float
 
     def vote(self) -> Column:
         v = F.coalesce(self.value, F.lit(float("nan")))
-        out = F.when(F.isnan(v), 0).when(~v.between(*self.fair), -1)
-        return (out.when(v.between(*self.good), 1) if self.good else out).otherwise(0).cast("int")
+        return F.when(F.isnan(v), 0).when(~v.between(*self.fair), -1).when(v.between(*self.good), 1).otherwise(0).cast("int")
 
 
 def rules() -> list[Rule]:
-    """The rules; all are ratios, so that they read alike in any language and at any length.
-
-    Most can only object. Variety can also speak for a text, which outweighs a doubtful objection but not a trusted one.
-    """
+    """The rules; all are ratios, so that they read alike in any language and at any length, and all can vote both ways."""
     words, lines, letters = F.col("n_words"), F.col("n_lines"), F.col("n_letters")
     share = lambda a, b: F.when(b > 0, F.col(a) / b)
     many = float("inf")
     return [
-        Rule("word_length", share("word_chars", words), (2.2, 14.0), None, 0.8),
-        Rule("variety", F.when(words >= 50, F.col("n_distinct") / F.sqrt(words)), (2.5, many), (4.0, many), 0.75),
-        Rule("symbols", share("n_symbols", words), (0.0, 0.1), None, 0.96),
-        Rule("shouting", share("n_exclaim", words), (0.0, 0.25), None, 0.95),
-        Rule("capitals", share("n_upper", letters), (0.0, 0.5), None, 0.95),
-        Rule("repeated_words", share("n_repeat_words", words), (0.0, 0.3), None, 0.9),
-        Rule("repeated_lines", F.when(lines >= 3, F.col("n_dup_lines") / lines), (0.0, 0.3), None, 0.65),
-        Rule("letters", share("n_letters", F.col("word_chars")), (0.7, 1.0), None, 0.7),
+        Rule("word_length", share("word_chars", words), (2.2, 14.0), (3.5, 7.0), 0.01),
+        Rule("variety", F.when(words >= 50, F.col("n_distinct") / F.sqrt(words)), (2.5, many), (5.0, many), 0.02),
+        Rule("symbols", share("n_symbols", words), (0.0, 0.1), (0.0, 0.01), 0.005),
+        Rule("shouting", share("n_exclaim", words), (0.0, 0.25), (0.0, 0.02), 0.005),
+        Rule("capitals", share("n_upper", letters), (0.0, 0.5), (0.0, 0.15), 0.005),
+        Rule("repeated_words", share("n_repeat_words", words), (0.0, 0.3), (0.0, 0.05), 0.02),
+        Rule("repeated_lines", F.when(lines >= 3, F.col("n_dup_lines") / lines), (0.0, 0.3), (0.0, 0.05), 0.05),
+        Rule("letters", share("n_letters", F.col("word_chars")), (0.7, 1.0), (0.9, 1.0), 0.02),
     ]
 
 
@@ -111,51 +108,70 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return slim.mapInArrow(measure, "doc_id long, " + ", ".join(f"{c} long" for c in FEATURES))
 
 
-#: Weight of what is expected of a rule against what its votes show, and the share of good documents taken beforehand.
-#: Both are given: from rules that mostly abstain, a lone rule's accuracy and the share cannot be told apart.
-PRIOR_WEIGHT, BALANCE = 3.0, 0.5
+#: What is expected beforehand counts as so many documents of each class, so that it gives way as the corpus grows: a bad
+#: document breaks a quarter of the rules and passes most, a good one passes with an abstention now and then.
+PRIOR_DOCUMENTS, BAD_VOTES, GOOD_ABSTAINS = 50.0, {-1: 0.25, 0: 0.1, 1: 0.65}, 0.1
+#: The same for the share of good documents: good and bad ones seen beforehand.
+PRIOR_BALANCE = (4.0, 1.0)
 
 
-def fit(patterns: dict[tuple[int, ...], int], trust: list[float], rounds: int = 100) -> list[float]:
-    """EM: each rule's accuracy, the chance that its vote is right when it votes, as the mode under its prior.
+@dataclass(frozen=True)
+class Latent:
+    """The share of good documents, and for each rule P(vote | good) and P(vote | bad)."""
 
-    A rule that never votes keeps the accuracy expected of it.
-    """
-    accuracy = list(trust)
+    balance: float
+    good: tuple[dict[int, float], ...]
+    bad: tuple[dict[int, float], ...]
+
+    def odds(self) -> float:
+        return math.log(self.balance / (1 - self.balance))
+
+    def weights(self) -> list[dict[int, float]]:
+        """For each rule and vote, what it adds to the log odds of a good document."""
+        return [{v: math.log(g[v] / b[v]) for v in (-1, 0, 1)} for g, b in zip(self.good, self.bad, strict=True)]
+
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        """P(good | votes)."""
+        z = self.odds() + sum(w[v] for w, v in zip(self.weights(), pattern, strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def fit(patterns: dict[tuple[int, ...], int], slips: list[float], rounds: int = 300) -> Latent:
+    """EM for the share of good documents and for how each rule votes on good and on bad ones, with the priors' counts added."""
+    prior = [({-1: s, 0: GOOD_ABSTAINS, 1: 1 - GOOD_ABSTAINS - s}, BAD_VOTES) for s in slips]
+    now = Latent(PRIOR_BALANCE[0] / sum(PRIOR_BALANCE), tuple(g for g, _ in prior), tuple(b for _, b in prior))
+    total = sum(patterns.values())
     for _ in range(rounds):
-        post = {p: posterior(p, accuracy) for p in patterns}
-        new = []
-        for j, expected in enumerate(trust):
-            right = sum(n * (post[p] if p[j] > 0 else 1 - post[p]) for p, n in patterns.items() if p[j])
-            votes = sum(n for p, n in patterns.items() if p[j])
-            share = (right / votes + PRIOR_WEIGHT * expected) / (1 + PRIOR_WEIGHT) if votes else expected
-            new.append(min(0.995, max(0.505, share)))
-        moved = max(abs(x - y) for x, y in zip(new, accuracy, strict=True))
-        accuracy = new
+        post = {p: now.posterior(p) for p in patterns}
+        sides = []
+        for side in (0, 1):
+            mass = {p: n * (post[p] if side == 0 else 1 - post[p]) for p, n in patterns.items()}
+            all_ = sum(mass.values()) + PRIOR_DOCUMENTS
+            sides.append(tuple({v: (sum(m for p, m in mass.items() if p[j] == v) + PRIOR_DOCUMENTS * prior[j][side][v]) / all_ for v in (-1, 0, 1)} for j in range(len(slips))))
+        balance = (sum(n * post[p] for p, n in patterns.items()) + PRIOR_BALANCE[0]) / (total + sum(PRIOR_BALANCE))
+        new = Latent(balance, *sides)
+        moved = max([abs(new.balance - now.balance), *(abs(x[v] - y[v]) for a, b in ((new.good, now.good), (new.bad, now.bad)) for x, y in zip(a, b, strict=True) for v in x)])
+        now = new
         if moved < 1e-9:
             break
-    return accuracy
-
-
-def posterior(pattern: tuple[int, ...], accuracy: list[float]) -> float:
-    """P(good | votes)."""
-    odds = math.log(BALANCE / (1 - BALANCE)) + sum(v * math.log(a / (1 - a)) for v, a in zip(pattern, accuracy, strict=True))
-    return 1 / (1 + math.exp(-odds))
+    return now
 
 
 def judge(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the counts, one vote column a rule (vote_<name>), p_good, base_failed and kept for every document.
 
     Null and empty texts have no words, so they fail the base test. Repeated rows are judged alike. Other columns are
-    ignored. The model is fitted to the votes of all documents of the table.
+    ignored, and an empty table gives an empty one. The model is fitted to the votes on all documents of the table that
+    pass the base test, since the others' verdict needs none.
     """
     judges = rules()
     votes = [f"vote_{r.name}" for r in judges]
-    cast = settle(features(docs, id_col, text_col), "features").withColumns({c: r.vote() for c, r in zip(votes, judges, strict=True)})
-    counted = {tuple(r[c] for c in votes): r["n"] for r in cast.groupBy(*votes).agg(F.count("*").alias("n")).collect()}
-    odds = F.lit(math.log(BALANCE / (1 - BALANCE)))
-    for c, a in zip(votes, fit(counted, [r.trust for r in judges]), strict=True):
-        odds = odds + F.col(c) * math.log(a / (1 - a))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    cast = settle(features(docs, id_col, text_col), "features").withColumns({c: r.vote() for c, r in zip(votes, judges, strict=True)})
+    counted = {tuple(r[c] for c in votes): r["n"] for r in cast.where(~failed).groupBy(*votes).agg(F.count("*").alias("n")).collect()}
+    model = fit(counted, [r.slip for r in judges])
+    odds = F.lit(model.odds())
+    for c, w in zip(votes, model.weights(), strict=True):
+        odds = odds + F.when(F.col(c) == -1, w[-1]).when(F.col(c) == 1, w[1]).otherwise(w[0])
     p = 1 / (1 + F.exp(-odds))
     return cast.withColumn("p_good", p).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))

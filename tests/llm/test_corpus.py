@@ -483,11 +483,36 @@ def test_quality_counts_and_verdict(odd, docs, data, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_accuracies_are_estimated():
-    """A rule that contradicts the others loses trust; one that never votes keeps it."""
-    patterns = {(-1, -1, 1, 0): 400, (1, 1, -1, 0): 600, (1, 1, 1, 0): 50}
-    a = quality.fit(patterns, [0.8, 0.8, 0.7, 0.9])
-    assert a[2] < 0.7 and a[0] > 0.8 and a[3] == 0.9
+def test_verdicts_equal_plain_bayes(docs):
+    """p_good and kept, from the votes in the result and an expectation-maximisation of the test's own."""
+    got = quality.judge(docs).collect()
+    names = [r.name for r in quality.rules()]
+    votes = np.array([[r[f"vote_{n}"] for n in names] for r in got])
+    use = np.array([not r["base_failed"] for r in got])
+    slips = np.array([r.slip for r in quality.rules()])
+    start = np.stack([np.stack([slips, 0 * slips + 0.1, 0.9 - slips], axis=1), np.tile([0.25, 0.1, 0.65], (len(slips), 1))])
+    th, share = start.copy(), 0.8
+    hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    likely = lambda: np.exp(np.einsum("njv,cjv->nc", hot, np.log(th))) * [share, 1 - share]
+    for _ in range(300):
+        post = likely()[use]
+        post /= post.sum(axis=1, keepdims=True)
+        share = (post[:, 0].sum() + 4) / (use.sum() + 5)
+        counted = np.einsum("nc,njv->cjv", post, hot[use]) + 50 * start
+        th = counted / counted.sum(axis=2, keepdims=True)
+    p = likely()
+    p = p[:, 0] / p.sum(axis=1)
+    assert np.allclose([r["p_good"] for r in got], p, atol=1e-6)
+    assert [r["kept"] for r in got] == [bool(u and x >= 0.5) for u, x in zip(use, p, strict=True)]
+
+
+def test_how_rules_vote_is_estimated():
+    """A rule that votes alike on good and bad texts loses its weight; priors give way as documents grow."""
+    patterns = {(-1, -1, 1): 300, (1, 1, 1): 600, (1, 1, -1): 60, (-1, -1, -1): 30}
+    found = quality.fit(patterns, [0.02, 0.02, 0.02])
+    assert abs(found.balance - 2 / 3) < 0.05 and found.posterior((-1, -1, 1)) < 0.1 < 0.9 < found.posterior((1, 1, -1))
+    weights = quality.fit({p: 1000 * n for p, n in patterns.items()}, [0.02, 0.02, 0.02]).weights()
+    assert weights[0][-1] < -3 and abs(weights[2][-1]) < 0.3
 
 
 # --- mixing
