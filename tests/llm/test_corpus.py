@@ -65,13 +65,48 @@ def test_masking(spark):
     assert got == {1: ("mail <EMAIL>, card <CARD>!", 26), 2: (None, None), 3: ("clean text 12 34", 16)}
 
 
-def test_labelers_learn(spark):
-    """Plain phone numbers after a cue are taken once the votes speak for them; numbers after `order` are not."""
-    rows = [(i, f"please call 555-{i % 900 + 100}-{1000 + i}") for i in range(300)] + [(1000 + i, f"order 555-{i % 900 + 100}-{1000 + i}") for i in range(300)]
-    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.6)
-    assert found.where("doc_id >= 1000 and n_added > 0").count() == 0
-    accuracy = pii.train(spark.createDataFrame(rows, "doc_id long, text string").select(pii.candidates(F.col("text")).alias("spans"))).accuracy
-    assert all(0.5 < a < 1 for a in accuracy)
+def test_labelers_add_what_they_agree_on(spark):
+    """Tokens and account numbers are added where labelers speak for them; look-alikes are not."""
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"set token = '{key(i)}' here") for i in range(100)] + [(1000 + i, f"fixed in commit {key(i)} today") for i in range(100)]
+    rows += [(3000 + i, f"order 555-{i + 100}-{1000 + i}") for i in range(100)]
+    rows += [(4000, "iban DE89 3704 0044 0532 0130 00."), (4001, "iban DE88 3704 0044 0532 0130 00."), (5000, "donaudampfschifffahrtsgesellschaft and pre-trained-models-version-2"), (5001, "")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == "secret:13:53" for i in range(100)) and not any(got[1000 + i] for i in range(100))
+    assert not any(got[3000 + i] for i in range(100)) and not got[4001] and not got[5000] and not got[5001]
+    assert got[4000] == "iban:5:32"
+
+
+def test_how_labelers_vote_is_estimated():
+    """A labeler that votes alike on all spans loses its weight, and base spans are taken as true."""
+    counts = {(True, (1, 1, 1, 0, 1)): 200, (False, (1, 1, 1, 0, -1)): 150, (False, (-1, -1, 0, 0, 1)): 300}
+    found = pii.estimate(counts)
+    assert found.posterior((1, 1, 1, 0, -1)) > 0.9 and found.posterior((-1, -1, 0, 0, 1)) < 0.1 and 0.45 < found.share < 0.65
+    assert abs(math.log(found.true[3][0] / found.false[3][0])) < 0.1
+
+
+def test_very_many_matches(spark):
+    """Spans and masked text of 60,000 matches, across the pieces in which they are taken, against plain Python."""
+    text = "".join(f"{i % 256}.2.3.4 x{i} a{i}@b.cd, " for i in range(30_000))
+    df = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    r = pii.find(df).first()
+    assert r["n_ip"] == r["n_email"] == 30_000 and r["spans"] == ",".join(f"{k}:{a}:{e}" for a, _, e, k in base_spans(text))
+    assert pii.redact(df).first()["text"] == re.sub(r"[0-9]+\.2\.3\.4", "<IP>", re.sub(r"a[0-9]+@b\.cd", "<EMAIL>", text))
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([("keep", "x@y.zz \U0001f642 é", "too")], "_spans string, text string, n_spans string")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [("keep", "<EMAIL> \U0001f642 é", "too")]
+
+
+def test_overlapping_spans_become_one(spark):
+    from pyspark.sql.types import ArrayType
+
+    spans = [[(0, 0, 4, True), (2, 1, 6, True), (9, 3, 10, True)], [], [(1, 5, 3, False)]]
+    schema = "text string, spans array<struct<start:bigint,kind:int,end:bigint,base:boolean>>"
+    df = spark.createDataFrame([("abcdefghijkl", spans[0]), ("abc", spans[1]), ("ab🙂c", spans[2])], schema)
+    assert isinstance(df.schema["spans"].dataType, ArrayType)
+    assert [r[0] for r in df.select(pii.masked(F.col("text"), F.col("spans"))).collect()] == ["<EMAIL>ghi<PHONE>kl", "abc", "a<SECRET>c"]
 
 
 # --- language
