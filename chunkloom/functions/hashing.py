@@ -20,7 +20,24 @@ def chunk_bytes(cells, extent, kind: str) -> bytes:
     if kind in ("string", "binary"):
         raw = [x.encode() if isinstance(x, str) else bytes(x) for x in cells]
         return b"".join(len(x).to_bytes(8, "little") + x for x in raw) + shape
-    return np.asarray(cells, dtype=BYTES[kind]).tobytes() + shape
+    if kind in BYTES and not any(x is None for x in cells):
+        return np.asarray(cells, dtype=BYTES[kind]).tobytes() + shape
+    return b"".join(map(_raw, cells)) + shape
+
+
+def _raw(x) -> bytes:
+    """A value of any type behind its length: records and lists field by field, floats by bits, others by their text."""
+    if x is None:
+        return b"\xff" * 8
+    if isinstance(x, dict):
+        out = b"".join(map(_raw, x.values()))
+    elif isinstance(x, (list, tuple, np.ndarray)):
+        out = b"".join(map(_raw, x))
+    elif isinstance(x, (float, np.floating)):
+        out = np.float64(x).tobytes()
+    else:
+        out = bytes(x) if isinstance(x, (bytes, bytearray)) else str(x).encode()
+    return len(out).to_bytes(8, "little") + out
 
 
 def exact_digest(cells: Column, extent: Column, kind: str) -> Column:

@@ -9,14 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def stop2count(start: Column, stop: Column, step: Column) -> Column:
+def range_length(start: Column, stop: Column, step: Column) -> Column:
     """How many numbers range(start, stop, step) has; step is at least 1."""
     last = stop - start - 1
     n = (last - F.pmod(last, step)) / step + 1
     return F.when(stop <= start, F.lit(0)).otherwise(n).cast("long")
 
 
-def count2stop(start: Column, count: Column, step: Column) -> Column:
+def range_end(start: Column, count: Column, step: Column) -> Column:
     """The least stop for which range(start, stop, step) has so many numbers."""
     return F.when(count == 0, start).otherwise(start + (count - 1) * step + 1).cast("long")
 
@@ -26,7 +26,7 @@ def ceil_div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long") + F.when(F.pmod(a, b) > 0, 1).otherwise(0)
 
 
-def smallest_step_after(x: Column, a: Column, m: Column) -> Column:
+def next_on_grid(x: Column, a: Column, m: Column) -> Column:
     """The least a + k * m that is not below x."""
     return (a + ceil_div(x - a, m) * m).cast("long")
 
@@ -54,7 +54,7 @@ def new_version_name() -> str:
 def utc(t: datetime.datetime) -> datetime.datetime:
     """A UTC time without its zone, as stored; raises ValueError for any other zone, and for none."""
     if t.utcoffset() != datetime.timedelta(0):
-        raise ValueError("timestamp must be in UTC")
+        raise ValueError("times are given in UTC")
     return t.replace(tzinfo=None)
 
 

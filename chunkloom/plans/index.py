@@ -53,7 +53,7 @@ def _is_list(x: Any) -> bool:
 
 def _axis(i: Any, size: int) -> Point | Span | Picks:
     if i is None:
-        raise NotImplementedError("None/np.newaxis not supported")
+        raise NotImplementedError("an index cannot add an axis")
     if isinstance(i, slice):
         step = 1 if i.step is None else operator.index(i.step)
         if step == 0:
@@ -176,6 +176,21 @@ class Selection:
             d.append((F.lit(a.at) if o is None else a.start + o * a.step if isinstance(a, Span) else F.element_at(F.lit(list(a.at)), (o + 1).cast("int"))).cast("long").alias(f"d{k}"))
         return out.select(*[f"o{o}" for o in range(len(kept))], *d)
 
+    @staticmethod
+    def _covered(a: Point | Span | Picks, c: Column, size: int, n: int) -> Column:
+        """Predicate on an axis' chunk number: chunks of which a point, a stepped span or a list takes every position."""
+        if isinstance(a, Picks):
+            each: dict[int, int] = {}
+            for p in set(a.at):
+                each[p // size] = each.get(p // size, 0) + 1
+            full = [i for i, m in each.items() if m == min(size, n - i * size)]
+        else:  # what is taken is at least two apart, so only a chunk of one position can be taken whole
+            at = range(a.at, a.at + 1) if isinstance(a, Point) else range(a.start, a.stop, a.step)
+            if size == 1 and len(at):
+                return c.between(at[0], at[-1]) & ((c - at[0]) % at.step == 0)
+            full = [(n - 1) // size] if n % size == 1 and n - 1 in at else []
+        return c.isin(full) if full else F.lit(False)
+
     def whole(self) -> Column:
         """Predicate on chunk columns: chunks all of whose cells are selected."""
         out = [F.lit(not self.empty)]
@@ -185,21 +200,18 @@ class Selection:
             if isinstance(a, Span) and a.step == 1:
                 out.append((low >= a.start) & (high <= a.stop))
             else:
-                positions = {a.at} if isinstance(a, Point) else set(a.at) if isinstance(a, Picks) else set(range(a.start, a.stop, a.step))
-                full = [i for i in {p // size for p in positions} if set(range(i * size, min(n, (i + 1) * size))) <= positions]
-                out.append(c.isin(full) if full else F.lit(False))
+                out.append(self._covered(a, c, size, n))
         return reduce(operator.and_, out)
 
 
 def compile_index(index: Any, shape: tuple[int, ...], chunks: tuple[int, ...] | None = None) -> Selection:
     """The selection of array[index] for an array of this shape, cut into such chunks (one chunk by default)."""
     chunks = tuple(max(1, n) for n in shape) if chunks is None else tuple(chunks)
-    if any(c <= 0 for c in chunks):
-        raise ValueError("chunk sizes must be strictly positive")
-    if any(n < 0 for n in shape):
-        raise ValueError("shape dimensions must be non-negative")
     if len(chunks) != len(shape):
-        raise ValueError("chunks dimensions must equal the array dimensions")
+        raise ValueError("chunks and shape differ in their number of axes")
+    for n, c in zip(shape, chunks, strict=True):
+        if n < 0 or c < 1:
+            raise ValueError("no axis is shorter than zero" if n < 0 else "a chunk has at least one cell along each axis")
     parts = list(index) if isinstance(index, tuple) else [index]
     dots = [k for k, x in enumerate(parts) if x is Ellipsis]
     if len(dots) > 1:
@@ -209,7 +221,7 @@ def compile_index(index: Any, shape: tuple[int, ...], chunks: tuple[int, ...] |
     at = dots[0] if dots else len(parts)
     parts = parts[:at] + [slice(None)] * (len(shape) - len(parts) + len(dots)) + parts[at + 1 :]
     if sum(map(_is_list, parts)) > 1:
-        raise NotImplementedError("Multiple fancy indices")
+        raise NotImplementedError("one list or mask an index; product_index takes more")
     return Selection(tuple(_axis(i, n) for i, n in zip(parts, shape, strict=True)), tuple(shape), chunks)
 
 

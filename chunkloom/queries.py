@@ -164,7 +164,8 @@ def asof_before_first(spark: SparkSession, d: str) -> DataFrame:
 def head_after_drop(spark: SparkSession, d: str) -> DataFrame:
     """HEAD after the newest version is dropped: its parent."""
     chain = _chain(spark, d)
-    return chain.agg(F.max_by("prev", "v").cast("string").alias("head"))
+    newest = chain.agg(F.max_by("v", "vts").alias("v"))
+    return versions.drop_versions(chain, newest).agg(F.max_by("v", "vts").cast("string").alias("head"))
 
 
 @query("WITH e AS (SELECT event_type AS branch, CAST(ts AS DATE) AS day FROM events GROUP BY 1, 2) SELECT branch, branch || '@' || CAST(day AS VARCHAR) AS v, coalesce(branch || '@' || CAST(lag(day) OVER (PARTITION BY branch ORDER BY day) AS VARCHAR), 'root') AS prev FROM e")
@@ -263,8 +264,8 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     start, step = F.col("event_id") % 50, 1 + F.col("event_id") % 7
     return e.select(
-        F.col("event_id").alias("a"), scalars.stop2count(start, F.col("user_id"), step).alias("n"), scalars.count2stop(F.col("user_id"), F.col("event_id") % 5, step).alias("stop"),
-        scalars.ceil_div(F.col("event_id"), F.lit(256)).cast("long").alias("up"), scalars.smallest_step_after(start + F.col("user_id") + 49, start, step).alias("step"),
+        F.col("event_id").alias("a"), scalars.range_length(start, F.col("user_id"), step).alias("n"), scalars.range_end(F.col("user_id"), F.col("event_id") % 5, step).alias("stop"),
+        scalars.ceil_div(F.col("event_id"), F.lit(256)).cast("long").alias("up"), scalars.next_on_grid(start + F.col("user_id") + 49, start, step).alias("step"),
     )
 
 
@@ -278,19 +279,19 @@ def version_shapes(spark: SparkSession, d: str) -> DataFrame:
     return days.select(F.col("v").cast("string").alias("v"), n.alias("length"), scalars.ceil_div(n, F.lit(CHUNK)).cast("long").alias("chunks"), (n * 8).alias("bytes"))
 
 
-@query(f"WITH {_CHAIN}, n AS (SELECT v, user_id, count(*) FILTER (ts <= vts) AS n FROM chain CROSS JOIN events WHERE day(v) <= 2 GROUP BY 1, 2) SELECT user_id, bool_and(n = 0) AS empty FROM n GROUP BY 1")
+@query(f"WITH {_CHAIN} SELECT user_id, min(ts) IS NULL OR min(ts) > (SELECT max(vts) FROM chain) AS empty FROM events GROUP BY 1")
 def empty_datasets(spark: SparkSession, d: str) -> DataFrame:
-    """Users whose array has no cell in any version of the first two days of a month: by their first event."""
-    chain = _chain(spark, d).where(F.dayofmonth("v") <= 2).agg(F.max("vts").alias("until"))
+    """Users whose array has no cell in any version: those whose first event no version reaches."""
+    chain = _chain(spark, d).agg(F.max("vts").alias("until"))
     firsts = _events(spark, d).groupBy("user_id").agg(F.min("ts").alias("first"))
     return firsts.crossJoin(F.broadcast(chain)).select("user_id", F.coalesce(F.col("first") > F.col("until"), F.lit(True)).alias("empty"))
 
 
-@query("SELECT path FROM (SELECT DISTINCT source AS path FROM documents WHERE doc_id % 2 = 0) UNION SELECT DISTINCT lang FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT DISTINCT source AS path FROM documents UNION SELECT DISTINCT lang FROM documents")
 def members_union(spark: SparkSession, d: str) -> DataFrame:
-    """Names of staged and of stored members, each once."""
+    """Names of staged members (sources) and of stored ones (languages), each once."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.where("doc_id % 2 = 0").select(F.col("source").alias("path")).union(docs.where("doc_id % 2 = 1").select("lang")).distinct()
+    return docs.select(F.col("source").alias("path")).union(docs.select("lang")).distinct()
 
 
 # --- chunks, digests, deduplication
@@ -605,17 +606,28 @@ def _store(spark: SparkSession, d: str):
     return store
 
 
-@query()
+_KNOWN = "days AS (SELECT DISTINCT CAST(ts AS DATE) AS v FROM events WHERE ts IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_KNOWN}, known AS (SELECT event_id, value FROM events WHERE CAST(ts AS DATE) <= (SELECT max(v) FROM days WHERE v < (SELECT max(v) FROM days)))
+    SELECT o.o0, CASE WHEN k.event_id IS NULL THEN 0 ELSE k.value END AS val
+    FROM (SELECT unnest(range(0, 97)) AS o0) o LEFT JOIN known k ON k.event_id = 10 + 3 * o.o0"""
+)
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """A slice of the version before the newest, of one version a day, read back from a store."""
     return _store(spark, d)[-1]["series/value"][10:300:3]
 
 
-@query()
+@query(
+    """SELECT p.d0, CASE WHEN e.event_id IS NULL THEN 0 ELSE e.value * 2 END AS val
+    FROM (SELECT unnest(range(0, (SELECT max(event_id) + 1 FROM events WHERE ts IS NOT NULL))) AS d0) p
+    LEFT JOIN events e ON e.event_id = p.d0 AND e.ts IS NOT NULL"""
+)
 def replay_callback(spark: SparkSession, d: str) -> DataFrame:
-    """The newest version after the history of all days was replayed with a callback."""
+    """The newest version after all cells of all days' versions went through a callback, each distinct chunk once."""
     store = _store(spark, d)
-    store.replay("series/value", lambda cells, version: cells.withColumn("val", F.col("val") * 2))
+    store.transform("series/value", lambda x: x * 2)
     return store[0]["series/value"].cells()
 
 

@@ -1,8 +1,10 @@
 """A store of versions: arrays as immutable manifests of content-addressed chunks, in Parquet.
 
     root/meta/000000000001.json      versions, HEAD, datasets; the highest number counts, and is written last
-    root/chunks/<dataset>/<commit>/  chunks that a commit added: chunk_hash, extent, cells
-    root/manifest/<dataset>/<commit>/  a version's chunks: c0, ..., extent, chunk_hash
+    root/chunks/<dataset>/<part>/    chunks that a commit added: chunk_hash, extent, cells, in order of chunk_hash
+    root/manifest/<dataset>/<commit>/  a version's chunks: c0, ..., extent, chunk_hash, and the part that holds each
+
+A read opens the manifest, and of the chunks only the parts that the wanted ones are in.
 
 A commit that fails leaves files that no metadata names, which are never read. There is one writer: publishing fails if
 another has published meanwhile. Chunks are looked up by digest among all of a dataset's, of all versions and branches.
@@ -17,20 +19,25 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from chunkloom.functions.hashing import BYTES
 from chunkloom.functions.scalars import compatible, new_version_name, utc
 from chunkloom.operators import chunks as C
 from chunkloom.operators import diff, mutate
 from chunkloom.plans.index import compile_index
-from chunkloom.sources.files import Files, scratch
+from chunkloom.sources import arrays
+from chunkloom.sources.files import Files, scratch, settle
 
 FORMAT = 1
 #: Chunk shape of one-dimensional arrays for which none is given; others must give one.
 DEFAULT_CHUNK = 4096
 RESERVED = "versions"
+#: Chunks up to which a read names them one by one.
+FEW_CHUNKS = 1000
 CODECS = ("zstd", "gzip", "snappy", "lz4", "none")
 
 
@@ -174,36 +181,56 @@ class VersionStore:
 
         meta["head"] = kept(meta["head"])
         meta["versions"] = {n: v | {"prev": kept(v["prev"])} for n, v in known.items() if n not in gone}
-        old = {p: list(d["pool"]) for p, d in meta["datasets"].items()}
+        old = {p: list(d["pool"].values()) for p, d in meta["datasets"].items()}
         for path in list(meta["datasets"]):
             self._sweep(meta, path)
         self._publish(meta, meta["number"])
         for p, dirs in old.items():
-            for x in set(dirs) - set(meta["datasets"].get(p, {}).get("pool", [])):
+            for x in set(dirs) - set(meta["datasets"].get(p, {"pool": {}})["pool"].values()):
                 self.files.delete(x)
 
     def _manifests(self, meta: dict[str, Any], path: str) -> list[str]:
         return sorted({v["datasets"][path]["manifest"] for v in meta["versions"].values() if path in v["datasets"]} - {""})
 
     def _sweep(self, meta: dict[str, Any], path: str) -> None:
+        """Drop chunks that no manifest names; only parts that hold such chunks are written anew, under their old name."""
         used = self._manifests(meta, path)
         if not any(path in v["datasets"] for v in meta["versions"].values()):
             del meta["datasets"][path]
             return
-        pool = self._pool(meta, path)
+        spec = meta["datasets"][path]
         if not used:
-            meta["datasets"][path]["pool"] = []
-        elif pool is not None:
-            live = self.spark.read.parquet(*[f"{self.root}/{m}" for m in used]).select("chunk_hash").distinct()
-            if not pool.join(live, "chunk_hash", "left_anti").isEmpty():
-                meta["datasets"][path]["pool"] = [self._write(pool.join(live, "chunk_hash", "left_semi"), "chunks", path, meta["datasets"][path]["codec"])]
-
-    def _pool(self, meta: dict[str, Any], path: str) -> DataFrame | None:
-        dirs = meta["datasets"].get(path, {}).get("pool", [])
-        return self.spark.read.parquet(*[f"{self.root}/{x}" for x in dirs]) if dirs else None
-
-    def _write(self, df: DataFrame, kind: str, path: str, codec: str) -> str:
-        where = f"{kind}/{path.replace('/', '.')}/{uuid.uuid4().hex}"
+            spec["pool"] = {}
+            return
+        live = self._listed(path, len(spec["chunks"]), used).select("chunk_hash").distinct()
+        counts = self._digests(meta, path).join(live.withColumn("live", F.lit(1)), "chunk_hash", "left").groupBy("part").agg(F.count("*").alias("n"), F.count("live").alias("live")).collect()
+        for r in counts:
+            if r["live"] == 0:
+                del spec["pool"][r["part"]]
+            elif r["live"] < r["n"]:
+                kept = self._pool(meta, path, [r["part"]]).join(live, "chunk_hash", "left_semi")
+                spec["pool"][r["part"]] = self._write(kept.sortWithinPartitions("chunk_hash"), "chunks", path, spec["codec"], f"{r['part']}.{uuid.uuid4().hex}")
+
+    def _listed(self, path: str, axes: int, manifests: Sequence[str]) -> DataFrame:
+        cols = ", ".join(f"{c} long" for c in C.names("c", axes))
+        return self.spark.read.schema(f"{cols}, extent array<int>, chunk_hash string, part string").parquet(*[f"{self.root}/{m}" for m in manifests])
+
+    def _pool(self, meta: dict[str, Any], path: str, parts: Sequence[str] | None = None) -> DataFrame | None:
+        """chunk_hash, extent, cells of all parts of a dataset, or of some."""
+        spec = meta["datasets"].get(path, {"pool": {}})
+        dirs = [d for p, d in spec["pool"].items() if parts is None or p in parts]
+        return self.spark.read.schema(f"chunk_hash string, extent array<int>, cells array<{spec['dtype']}>").parquet(*[f"{self.root}/{x}" for x in dirs]) if dirs else None
+
+    def _digests(self, meta: dict[str, Any], path: str) -> DataFrame:
+        """chunk_hash and part of all stored chunks; cells are not read."""
+        pool = self._pool(meta, path)
+        if pool is None:
+            return self.spark.createDataFrame([], "chunk_hash string, part string")
+        folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        return pool.select("chunk_hash", F.substring_index(folder, ".", 1).alias("part"))
+
+    def _write(self, df: DataFrame, kind: str, path: str, codec: str, name: str | None = None) -> str:
+        where = f"{kind}/{path.replace('/', '.')}/{name or uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(f"{self.root}/{where}")
         return where
 
@@ -219,41 +246,106 @@ class VersionStore:
                 out = out.join(cells.withColumnRenamed("chunk_hash", f"{side}_hash").withColumnRenamed("cells", f"{side}_cells"), f"{side}_hash", "left")
         return out
 
-    def replay(self, path: str, change: Callable[[DataFrame, str], DataFrame | None], chunks: Sequence[int] | None = None, dtype: str | None = None, fill: Any = None, codec: str | None = None) -> None:
-        """Rewrite a dataset in all versions that have it: change gets cells and version name, None drops it there."""
+    def replay(self, path: str, change: Callable[[DataFrame, str], Any], chunks: Sequence[int] | None = None, dtype: str | None = None, fill: Any = None, codec: str | None = None) -> None:
+        """Rewrite a dataset in all versions that have it: change gets all cells (also those that no chunk stores) and the
+        version's name. It gives the new cells, or them and a new shape, or None to drop the dataset there.
+
+        Each version is computed whole; `transform` is the way for functions of single cells, and for huge sparse arrays.
+        """
         meta = self._meta()
         if path not in meta["datasets"]:
             raise KeyError(path)
         old = meta["datasets"][path]
-        made = old | {"pool": [], "chunks": list(chunks or old["chunks"]), "dtype": dtype or old["dtype"], "fill": old["fill"] if fill is None else fill, "codec": codec or old["codec"]}
+        made = old | {"pool": {}, "chunks": list(chunks or old["chunks"]), "dtype": dtype or old["dtype"], "fill": old["fill"] if fill is None else fill, "codec": codec or old["codec"]}
         fresh = json.loads(json.dumps(meta)) | {"number": meta["number"]}
         fresh["datasets"][path] = made
-        done: dict[str, str] = {}
+        kept = False
         for name in sorted(meta["versions"], key=lambda v: meta["versions"][v]["seq"]):
             entry = meta["versions"][name]["datasets"].get(path)
             if entry is None:
                 continue
-            cells = change(Dataset(self, meta, name, path).stored(), name)
-            if cells is None:
+            found = change(Dataset(self, meta, name, path).cells(), name)
+            if found is None:
                 del fresh["versions"][name]["datasets"][path]
                 continue
-            rows = C.chunk_cells(mutate.astype(cells, made["dtype"]), entry["shape"], made["chunks"], made["fill"])
-            fresh["versions"][name]["datasets"][path]["manifest"] = _store_chunks(self, fresh, path, rows, len(entry["shape"]), None)
-            done[name] = name
-        if not done:
+            cells, shape = found if isinstance(found, tuple) else (found, entry["shape"])
+            rows = C.chunk_cells(mutate.astype(cells, made["dtype"]), shape, made["chunks"], made["fill"])
+            fresh["versions"][name]["datasets"][path] |= {"shape": list(shape), "manifest": _store_chunks(self, fresh, path, rows, len(shape), None)}
+            kept = True
+        if not kept:
             del fresh["datasets"][path]
+        self._replace(meta, fresh, path)
+
+    def _replace(self, meta: dict[str, Any], fresh: dict[str, Any], path: str) -> None:
         self._publish(fresh, meta["number"])
-        for x in [*old["pool"], *self._manifests(meta, path)]:
+        for x in [*meta["datasets"][path]["pool"].values(), *self._manifests(meta, path)]:
             self.files.delete(x)
 
+    def transform(self, path: str, change: Callable[[Column], Column], dtype: str | None = None, codec: str | None = None) -> None:
+        """Put every cell of a dataset through a function, in all versions at once: every distinct chunk is computed once.
+
+        The fill value goes through it too, and with it all cells that no chunk stores.
+        """
+        meta = self._meta()
+        if path not in meta["datasets"]:
+            raise KeyError(path)
+        old = meta["datasets"][path]
+        kind = dtype or old["dtype"]
+        fill = self.spark.range(1).select(change(C.filler(old["fill"], old["dtype"])).cast(kind).alias("x")).first()["x"]
+        made = old | {"pool": {}, "dtype": kind, "fill": stored_fill(fill), "codec": codec or old["codec"]}
+        fresh = json.loads(json.dumps(meta)) | {"number": meta["number"]}
+        fresh["datasets"][path] = made
+        pool, part = self._pool(meta, path), uuid.uuid4().hex
+        if pool is not None:
+            new = pool.select(F.col("chunk_hash").alias("old"), "extent", F.transform("cells", lambda x: change(x).cast(kind)).alias("cells"))
+            blank = ~F.exists("cells", lambda x: ~x.eqNullSafe(C.filler(made["fill"], kind)))
+            hashed = settle(C.hash_chunks(new, exact=True).withColumn("blank", blank))
+            made["pool"] = {part: self._write(hashed.where("not blank").dropDuplicates(["chunk_hash"]).select("chunk_hash", "extent", "cells").sortWithinPartitions("chunk_hash"), "chunks", path, made["codec"], part)}
+            names = hashed.where("not blank").select(F.col("old").alias("chunk_hash"), F.col("chunk_hash").alias("new"))
+            axes = len(old["chunks"])
+            for m in self._manifests(meta, path):
+                listed = self._listed(path, axes, [m]).join(names, "chunk_hash").select(*C.names("c", axes), "extent", F.col("new").alias("chunk_hash"), F.lit(part).alias("part"))
+                where = self._write(listed.sortWithinPartitions(*C.names("c", axes)), "manifest", path, made["codec"])
+                for v in fresh["versions"].values():
+                    if path in v["datasets"] and v["datasets"][path]["manifest"] == m:
+                        v["datasets"][path]["manifest"] = where
+        self._replace(meta, fresh, path)
+
     def modify_metadata(self, path: str, chunks: Sequence[int] | None = None, dtype: str | None = None, fill: Any = None, codec: str | None = None) -> None:
         """Another chunk shape, element type, fill value or codec in all versions; cells equal to the old fill get the new."""
-        old = self._meta()["datasets"][path]["fill"]
-        self.replay(path, lambda cells, _: cells if fill is None else mutate.refill(cells, old, fill).where(~F.col("val").eqNullSafe(F.lit(fill))), chunks, dtype, fill, codec)
+        if codec not in (None, *CODECS):
+            raise ValueError(f"codec must be one of {CODECS}")
+        spec = self._meta()["datasets"][path]
+        kind = dtype or spec["dtype"]
+
+        def change(x: Column) -> Column:
+            return x if fill is None else F.when(x.eqNullSafe(C.filler(spec["fill"], spec["dtype"])), C.filler(fill, kind)).otherwise(x.cast(kind))
+
+        if fill is not None or dtype is not None or codec is not None or chunks is None:
+            self.transform(path, change, dtype, codec)
+        if chunks is not None and list(chunks) != spec["chunks"]:
+            self._rechunk(path, list(chunks))
+
+    def _rechunk(self, path: str, chunks: list[int]) -> None:
+        """Another chunk shape; stored chunks only, one version after another."""
+        meta = self._meta()
+        fresh = json.loads(json.dumps(meta)) | {"number": meta["number"]}
+        fresh["datasets"][path] |= {"pool": {}, "chunks": chunks}
+        done: dict[str, str] = {}
+        for name, v in meta["versions"].items():
+            entry = v["datasets"].get(path)
+            if entry is None or not entry["manifest"]:
+                continue
+            key = json.dumps([entry["manifest"], entry["shape"]])
+            if key not in done:
+                rows = C.chunk_cells(Dataset(self, meta, name, path).stored(), entry["shape"], chunks, meta["datasets"][path]["fill"])
+                done[key] = _store_chunks(self, fresh, path, rows, len(chunks), None)
+            fresh["versions"][name]["datasets"][path]["manifest"] = done[key]
+        self._replace(meta, fresh, path)
 
     def rebuild(self, path: str) -> None:
         """Compute all digests of a dataset again from its cells, and store its chunks under them."""
-        self.replay(path, lambda cells, _: cells)
+        self.transform(path, lambda x: x)
 
     def check(self, path: str) -> DataFrame:
         """Stored chunks whose digest is not that of their cells: stored, found."""
@@ -263,19 +355,44 @@ class VersionStore:
         return check_digests(pool, lambda x: C.hash_chunks(x, exact=True)).select("stored", "found")
 
 
+def stored_fill(value: Any) -> Any:
+    """A fill value as metadata keeps it: JSON's types as they are, structs as dicts, others as text that Spark casts back."""
+    if isinstance(value, Row):
+        return {k: stored_fill(v) for k, v in value.asDict().items()}
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).decode()
+    return value.item() if hasattr(value, "item") else value if value is None or isinstance(value, (bool, int, float, str, dict)) else str(value)
+
+
+def zero(dtype: str) -> Any:
+    """The fill value of a Spark type for which none is given."""
+    kind = DataType.fromDDL(dtype)
+    if isinstance(kind, StructType):
+        return {f.name: zero(f.dataType.simpleString()) for f in kind.fields}
+    simple = kind.simpleString()
+    return "" if simple.startswith(("string", "varchar", "char", "binary")) else False if simple == "boolean" else "1970-01-01 00:00:00" if simple.startswith("timestamp") else "1970-01-01" if simple == "date" else 0
+
+
 def _store_chunks(store: VersionStore, meta: dict[str, Any], path: str, rows: DataFrame, axes: int, keep: DataFrame | None) -> str:
-    """Add unknown chunks to the pool and write a manifest of rows and of what is kept; the manifest's folder."""
-    spec = meta["datasets"][path]
+    """Add unknown chunks to the pool as a part, and write a manifest of rows and of what is kept; the manifest's folder."""
+    spec, c = meta["datasets"][path], C.names("c", axes)
     hashed = C.hash_chunks(rows, exact=True)
     staged = f"staging/{uuid.uuid4().hex}"
     hashed.write.parquet(f"{store.root}/{staged}")  # digests are computed once
     hashed = store.spark.read.schema(hashed.schema).parquet(f"{store.root}/{staged}")
-    fresh, pool = hashed.select("chunk_hash", "extent", "cells").dropDuplicates(["chunk_hash"]), store._pool(meta, path)
-    fresh = fresh if pool is None else C.unknown(fresh, pool)
-    if not fresh.isEmpty():
-        spec["pool"] = [*spec["pool"], store._write(fresh, "chunks", path, spec["codec"])]
-    listed = hashed.select(*C.names("c", axes), "extent", "chunk_hash")
-    where = store._write((listed if keep is None else listed.unionByName(keep)).sortWithinPartitions(*C.names("c", axes)), "manifest", path, spec["codec"])
+    part, seen = uuid.uuid4().hex, Observation()
+    placed = hashed.withColumn("part", F.lit(part))
+    if spec["pool"]:
+        known = store._digests(meta, path).groupBy("chunk_hash").agg(F.min("part").alias("known"))
+        placed = hashed.join(known, "chunk_hash", "left").withColumn("part", F.coalesce("known", F.lit(part))).drop("known")
+    fresh = placed.where(F.col("part") == part).dropDuplicates(["chunk_hash"]).select("chunk_hash", "extent", "cells").sortWithinPartitions("chunk_hash")
+    where = store._write(fresh.observe(seen, F.count(F.lit(1)).alias("n")), "chunks", path, spec["codec"], part)
+    if seen.get["n"]:
+        spec["pool"] = spec["pool"] | {part: where}
+    else:
+        store.files.delete(where)
+    listed = placed.select(*c, "extent", "chunk_hash", "part")
+    where = store._write((listed if keep is None else listed.unionByName(keep)).sortWithinPartitions(*c), "manifest", path, spec["codec"])
     store.files.delete(staged)
     return where
 
@@ -360,20 +477,33 @@ class Dataset:
         return self.shape[0]
 
     def manifest(self) -> DataFrame:
-        """c0, ..., extent, chunk_hash of stored chunks; a missing one holds fill."""
+        """c0, ..., extent, chunk_hash, part of stored chunks; a missing one holds fill."""
         spark = self.store.spark
         if not self.entry["manifest"]:
             cols = ", ".join(f"{c} long" for c in C.names("c", self.ndim))
-            return spark.createDataFrame([], f"{cols}, extent array<int>, chunk_hash string")
-        return spark.read.parquet(f"{self.store.root}/{self.entry['manifest']}")
+            return spark.createDataFrame([], f"{cols}, extent array<int>, chunk_hash string, part string")
+        return self.store._listed(self.path, self.ndim, [self.entry["manifest"]])
 
     def chunk_rows(self, only=None) -> DataFrame:
-        """c0, ..., extent, cells of stored chunks, or of those that a predicate on c0, ... takes."""
+        """c0, ..., extent, cells of stored chunks, or of those that a predicate on c0, ... takes.
+
+        The manifest is asked first which parts hold them, and of a few chunks for their digests, by which the reader
+        skips row groups; so a read does not open what other versions have added.
+        """
         listed = self.manifest() if only is None else self.manifest().where(only)
-        pool = self.store._pool(self.meta, self.path)
+        pool = None
+        if self.entry["manifest"] and self.spec["pool"]:
+            few = listed.select("part", "chunk_hash").limit(FEW_CHUNKS + 1).collect() if only is not None else None
+            if few is not None and len(few) <= FEW_CHUNKS:
+                pool = self.store._pool(self.meta, self.path, sorted({r["part"] for r in few}))
+                pool = pool if pool is None else pool.where(F.col("chunk_hash").isin([r["chunk_hash"] for r in few]))
+            elif len(self.spec["pool"]) == 1:
+                pool = self.store._pool(self.meta, self.path)
+            else:
+                pool = self.store._pool(self.meta, self.path, [r["part"] for r in listed.select("part").distinct().collect()])
         if pool is None:
-            return listed.drop("chunk_hash").withColumn("cells", F.array().cast(f"array<{self.dtype}>")).where(F.lit(False))
-        return listed.join(pool.select("chunk_hash", "cells"), "chunk_hash").drop("chunk_hash")
+            return listed.drop("chunk_hash", "part").withColumn("cells", F.array().cast(f"array<{self.dtype}>")).where(F.lit(False))
+        return listed.drop("part").join(pool.select("chunk_hash", "cells"), "chunk_hash").drop("chunk_hash")
 
     def stored(self, only=None) -> DataFrame:
         """d0, ..., val of cells in stored chunks."""
@@ -400,8 +530,9 @@ class Dataset:
         if wanted.empty:
             return found
         every = wanted.coordinates(self.store.spark).select(*o)
-        joined = every.join(found, o, "left") if o else every.crossJoin(found) if not found.isEmpty() else every.withColumn("val", F.lit(None).cast(self.dtype))
-        return joined.select(*o, F.coalesce("val", F.lit(self.fill).cast(self.dtype)).alias("val"))
+        found = found.withColumn("_in", F.lit(True))
+        joined = every.join(found, o, "left") if o else every.join(found, F.lit(True), "left")  # one cell at most
+        return joined.select(*o, F.when(F.col("_in"), F.col("val")).otherwise(C.filler(self.fill, self.dtype)).alias("val"))
 
 
 class Stage:
@@ -430,11 +561,10 @@ class Stage:
                 raise ValueError(f"codec must be one of {CODECS}")
             if dtype == "string" and fill not in (None, ""):
                 raise ValueError("strings have the empty string as fill")
-            zero = "" if dtype == "string" else False if dtype == "boolean" else 0
-            old = {"dtype": dtype, "chunks": list(chunks or [DEFAULT_CHUNK]), "fill": zero if fill is None else fill, "codec": codec or "zstd", "pool": []}
+            old = {"dtype": dtype, "chunks": list(chunks or [DEFAULT_CHUNK]), "fill": zero(dtype) if fill is None else stored_fill(fill), "codec": codec or "zstd", "pool": {}}
             self.meta["datasets"][path] = old
             return old
-        same = compatible(dtype, old["dtype"]), chunks is None or list(chunks) == old["chunks"], fill is None or fill == old["fill"], codec in (None, old["codec"]), len(old["chunks"]) == ndim
+        same = compatible(dtype, old["dtype"]), chunks is None or list(chunks) == old["chunks"], fill is None or stored_fill(fill) == old["fill"], codec in (None, old["codec"]), len(old["chunks"]) == ndim
         if not all(same):
             raise ValueError("type, chunks, fill, codec and axes of a dataset are the same in all versions")
         return old
@@ -448,6 +578,45 @@ class Stage:
         self.entries[path] = {"shape": list(shape), "attrs": known | (attrs or {}), "manifest": "", "keep_fill": keep_fill}
         self.staged[path] = (C.chunk_cells(cells, shape, spec["chunks"], spec["fill"], keep_fill=True), True)
 
+    def create_dataset(self, path: str, shape: Sequence[int] | None = None, data: Any = None, dtype: str | None = None, chunks: Sequence[int] | None = None, fill: Any = None, codec: str | None = None, attrs: dict[str, str] | None = None) -> None:
+        """A dataset from an array (or nested lists), which may be cast to a Spark type; without data, a sparse one."""
+        if data is None:
+            return self.create(path, shape, dtype or "double", chunks, fill, codec, attrs)
+        array = np.asarray(data)
+        if shape is not None:
+            array = array.reshape(shape)
+        known = self.meta["datasets"].get(path.strip("/"))
+        if chunks is None and known is None and array.ndim > 1:
+            chunks = [min(n, max(1, round(DEFAULT_CHUNK ** (1 / array.ndim)))) or 1 for n in array.shape]
+        self.put(path, arrays.cells(self.store.spark, array, "d", dtype), array.shape, chunks, fill, codec, attrs)
+
+    def astype(self, path: str, dtype: str) -> None:
+        """All of a dataset's cells cast to another type; like any type, it holds for all versions of the dataset's path, so the path must be new or deleted in all others."""
+        self._rewrite(path, lambda cells, _: cells.select(*cells.columns[:-1], F.col("val").cast(dtype)), dtype=dtype)
+
+    def insert(self, path: str, rows: DataFrame, before: int, count: int) -> None:
+        """count rows (d0 from 0, ..., val) before a position of the first axis."""
+        shape = self.entries[path.strip("/")]["shape"]
+        self._rewrite(path, lambda cells, _: mutate.insert_rows(cells, rows, before, count), [shape[0] + count, *shape[1:]])
+
+    def remove(self, path: str, start: int, stop: int) -> None:
+        """Positions start to stop - 1 of the first axis taken out."""
+        shape = self.entries[path.strip("/")]["shape"]
+        self._rewrite(path, lambda cells, _: mutate.delete_rows(cells, start, stop), [shape[0] - (stop - start), *shape[1:]])
+
+    def _rewrite(self, path: str, change: Callable[[DataFrame, str], DataFrame], shape: Sequence[int] | None = None, dtype: str | None = None) -> None:
+        self._guard()
+        path = path.strip("/")
+        entry, spec = self.entries[path], self.meta["datasets"][path]
+        if dtype is not None and dtype != spec["dtype"]:
+            if any(path in v["datasets"] for v in self.meta["versions"].values()):
+                raise ValueError("the type of a dataset is the same in all versions; VersionStore.transform changes them all")
+            spec |= {"dtype": dtype, "fill": zero(dtype)}
+        cells = change(C.assemble(self._rows(path, F.lit(True)), spec["chunks"]), self.name)
+        entry["shape"] = list(shape or entry["shape"])
+        entry.pop("least", None)
+        self.staged[path] = (C.chunk_cells(cells, entry["shape"], spec["chunks"], spec["fill"], keep_fill=True), True)
+
     def create(self, path: str, shape: Sequence[int], dtype: str = "double", chunks: Sequence[int] | None = None, fill: Any = None, codec: str | None = None, attrs: dict[str, str] | None = None) -> None:
         """A sparse array: fill everywhere, and no chunk stored."""
         self._guard()
@@ -492,9 +661,13 @@ class Stage:
             out = out & (F.col(f"c{k}") * self.meta["datasets"][path]["chunks"][k] < n)
         return out
 
-    def __setitem__(self, key: tuple[str, Any], value: Any) -> None:
-        """stage[path, index] = a value, or a frame o0, ..., val over the selection. Only chunks it touches are rewritten."""
+    def __setitem__(self, key: str | tuple[str, Any], value: Any) -> None:
+        """stage[path, index] = a value, an array that broadcasts to the selection, or a frame o0, ..., val over it. Only
+        chunks it touches are rewritten. stage[path] = an array makes a dataset of it, or replaces one."""
         self._guard()
+        if isinstance(key, str):
+            self.create_dataset(key, data=value)
+            return
         path, index = key[0].strip("/"), key[1] if len(key) == 2 else tuple(key[1:])
         entry, spec = self.entries[path], self.meta["datasets"][path]
         shape, chunks, n = entry["shape"], spec["chunks"], len(entry["shape"])
@@ -503,7 +676,12 @@ class Stage:
             return
         places = wanted.coordinates(self.store.spark)
         o = C.names("o", len(wanted.result_shape))
-        new = places.join(value, o) if isinstance(value, DataFrame) else places.withColumn("val", F.lit(value))
+        if isinstance(value, (np.ndarray, list)):
+            value = arrays.cells(self.store.spark, np.broadcast_to(np.asarray(value), wanted.result_shape), "o", spec["dtype"])
+        if isinstance(value, DataFrame):
+            new = places.join(value, o) if o else places.join(value.select("val"), F.lit(True))
+        else:
+            new = places.withColumn("val", C.filler(stored_fill(value), spec["dtype"]) if isinstance(value, (dict, Row, bytes, datetime.date)) else F.lit(value.item() if isinstance(value, np.generic) else value))
         new = mutate.astype(new.select(*C.names("d", n), "val"), spec["dtype"])
         old = C.assemble(self._rows(path, wanted.touched() & ~wanted.whole()), chunks)
         self._stage(path, C.chunk_cells(mutate.merge(old, new), shape, chunks, spec["fill"], keep_fill=True))
@@ -555,8 +733,8 @@ class Stage:
             c = C.names("c", n)
             kept = None
             if not all_ and entry["manifest"]:
-                kept = self._committed(path).manifest().where(self._visible(path)).join(rows.select(*c), c, "left_anti").select(*c, "extent", "chunk_hash")
-            full = rows if entry.pop("keep_fill", False) else rows.where(F.exists("cells", lambda x: ~x.eqNullSafe(F.lit(spec["fill"]).cast(spec["dtype"]))))
+                kept = self._committed(path).manifest().where(self._visible(path)).join(rows.select(*c), c, "left_anti").select(*c, "extent", "chunk_hash", "part")
+            full = rows if entry.pop("keep_fill", False) else rows.where(F.exists("cells", lambda x: ~x.eqNullSafe(C.filler(spec["fill"], spec["dtype"]))))
             entry["manifest"] = _store_chunks(self.store, self.meta, path, full, n, kept)
         for entry in self.entries.values():
             entry.pop("least", None)

@@ -17,7 +17,7 @@ from chunkloom.operators import mutate, select
 def test_ranges(spark):
     rows = [(a, b, s) for a in range(0, 7) for b in range(0, 12) for s in (1, 2, 3, 5)]
     df = spark.createDataFrame(rows, "a long, b long, s long")
-    out = df.select("a", "b", "s", S.stop2count(F.col("a"), F.col("b"), F.col("s")).alias("n"), S.count2stop(F.col("a"), F.col("b"), F.col("s")).alias("e"), S.ceil_div(F.col("b"), F.col("s")).alias("c"), S.smallest_step_after(F.col("a") + F.col("b"), F.col("a"), F.col("s")).alias("y")).collect()
+    out = df.select("a", "b", "s", S.range_length(F.col("a"), F.col("b"), F.col("s")).alias("n"), S.range_end(F.col("a"), F.col("b"), F.col("s")).alias("e"), S.ceil_div(F.col("b"), F.col("s")).alias("c"), S.next_on_grid(F.col("a") + F.col("b"), F.col("a"), F.col("s")).alias("y")).collect()
     for r in out:
         assert r["n"] == len(range(r["a"], r["b"], r["s"]))
         assert len(range(r["a"], r["e"], r["s"])) == r["b"] and (r["b"] == 0 or len(range(r["a"], r["e"] - 1, r["s"])) == r["b"] - 1)

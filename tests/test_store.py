@@ -251,3 +251,90 @@ def test_iteration_and_rebuild(store):
     assert [sorted(r["val"] for r in row.collect()) for row in store[0]["x"]] == [[0, 1, 2], [3, 4, 5]]
     store.rebuild("x")
     assert dense(store[0]["x"]) == [[0, 1, 2], [3, 4, 5]] and store[0]["x"].load().count() == 6
+
+
+def test_replay_reaches_cells_that_no_chunk_stores(store):
+    with store.stage("r0") as s:
+        s.create("x", (6,), dtype="double", chunks=(2,), fill=1.0)
+        s.create("y", (10**11,), dtype="double", chunks=(10**4,), fill=1.0)
+    with store.stage("r1") as s:
+        s["x", 0] = 5.0
+        s["y", 7] = 3.0
+    store.transform("y", lambda x: x + 1)
+    assert store["r0"]["y"].fill == 2.0 and store["r0"]["y"].manifest().isEmpty()
+    assert sorted(r["val"] for r in store["r1"]["y"][6:9].collect()) == [2.0, 2.0, 4.0]
+    twice = [np.full(6, 2.0), np.array([10.0, 2, 2, 2, 2, 2])]
+    store.replay("x", lambda df, v: df.withColumn("val", F.col("val") * 2))
+    assert [dense(store[v]["x"]) for v in ("r0", "r1")] == [a.tolist() for a in twice]
+    store.transform("x", lambda x: x * x + 1)
+    assert [dense(store[v]["x"]) for v in ("r0", "r1")] == [(a * a + 1).tolist() for a in twice] and store["r0"]["x"].fill == 2.0
+    assert store.check("x").isEmpty()
+    store.replay("x", lambda df, v: (df.where("d0 < 3"), (3,)) if v == "r1" else None)
+    assert "x" not in store["r0"] and dense(store["r1"]["x"]) == [101.0, 5.0, 5.0]
+
+
+def test_a_read_opens_only_the_parts_it_needs(store):
+    put(store, "r0", np.arange(40))
+    for i in range(1, 4):
+        with store.stage(f"r{i}") as s:
+            s["x", 10 * i] = -i
+    assert len(store._meta()["datasets"]["x"]["pool"]) == 4
+    one = store["r3"]["x"].chunk_rows(F.col("c0") == 2)
+    assert len({f.rsplit("/", 2)[1] for f in one.inputFiles() if "/chunks/" in f}) == 1 and one.count() == 1
+    store.delete_versions(["r1", "r2"])
+    assert len(store._meta()["datasets"]["x"]["pool"]) == 4  # each change lives on in the newest version
+    assert dense(store["r3"]["x"])[::10] == [0, -1, -2, -3] and dense(store["r0"]["x"]) == list(range(40))
+
+
+RECORDS = np.array([(1, 0.5, "a"), (2, -0.0, ""), (0, 0.0, "ccc")], dtype=[("n", "i4"), ("x", "f8"), ("s", "U3")])
+ARRAYS = {
+    "ints": np.arange(7, dtype="i2"), "unsigned": np.array([0, 2**32 - 1], dtype="u4"), "huge": np.array([0, 2**64 - 1], dtype="u8"), "flags": np.array([True, False, True]), "grid": np.arange(12.0).reshape(3, 4),
+    "text": np.array(["a", "", "longer"]), "bytes": np.array([b"a", b"bc"]), "times": np.array(["2024-01-01T10:00:00", "1970-01-01"], dtype="datetime64[s]"), "complex": np.array([1 + 2j, 0]), "records": RECORDS,
+}
+
+
+def test_arrays_of_many_types(store):
+    with store.stage("r0") as s:
+        for path, a in ARRAYS.items():
+            s[path] = a
+        s.create("sparse", (5,), dtype="struct<n:int,s:string>", chunks=(2,))
+    v = store["r0"]
+    for path, a in ARRAYS.items():
+        got = {tuple(r)[:-1]: r["val"] for r in v[path].cells().collect()}
+        assert v[path].shape == a.shape and len(got) == a.size
+        for at, x in np.ndenumerate(a):
+            want = tuple(x) if a.dtype.names else (x.real, x.imag) if a.dtype.kind == "c" else bytes(x) if a.dtype.kind == "S" else x.item()
+            have = got[at]
+            assert (tuple(have) if isinstance(have, tuple) else bytes(have) if isinstance(have, bytearray) else int(have) if path == "huge" else have) == want
+        assert store.check(path).isEmpty()
+    assert {tuple(r["val"]) for r in v["sparse"].cells().collect()} == {(0, "")}
+
+
+def test_arrays_and_frames_into_selections(spark, store):
+    a = np.arange(20).reshape(4, 5)
+    put(store, "r0", a)
+    one = spark.createDataFrame([(77,)], "val long")
+    with store.stage("r1") as s:
+        s["x", 1:3, ::2] = np.array([[1, 2, 3], [4, 5, 6]])
+        s["x", 0] = [9, 8, 7, 6, 5]
+        s["x", 3, 4] = one
+    a[1:3, ::2], a[0], a[3, 4] = [[1, 2, 3], [4, 5, 6]], [9, 8, 7, 6, 5], 77
+    assert dense(store["r1"]["x"]) == a.tolist()
+    assert store["r1"]["x"][3, 4].first()["val"] == 77 and store["r1"]["x"][0, 0].first()["val"] == 9
+    with store.stage("r2") as s:
+        s.insert("x", cells(spark, np.full((2, 5), -1)), 1, 2)
+        s.remove("x", 0, 1)
+    assert dense(store["r2"]["x"]) == [[-1] * 5, [-1] * 5, *a[1:].tolist()]
+
+
+def test_long_chains(spark, monkeypatch):
+    """A thousand versions, walked on the driver and by pointers that double."""
+    from chunkloom.operators import versions as V
+
+    chain = spark.range(1000).select(F.col("id").alias("v"), F.when(F.col("id") > 0, F.col("id") - 1).alias("prev"), F.timestamp_seconds("id").alias("vts"))
+    for listed in (100_000, 10):
+        monkeypatch.setattr(V, "LISTED", listed)
+        assert sorted(map(tuple, V.lineage(chain, 700).collect())) == [(v, 700 - v) for v in range(701)]
+        kept = V.drop_versions(chain, chain.where("v % 9 <> 4").select("v")).orderBy("v").collect()
+        assert [(r["v"], r["prev"]) for r in kept] == [(v, v - 9 if v > 4 else None) for v in range(4, 1000, 9)]
+    assert V.lineage(chain, 5000).count() == 0 and V.nth_ancestor(chain, 700, 3).first()["v"] == 697
