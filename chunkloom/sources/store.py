@@ -373,13 +373,20 @@ def zero(dtype: str) -> Any:
     return "" if simple.startswith(("string", "varchar", "char", "binary")) else False if simple == "boolean" else "1970-01-01 00:00:00" if simple.startswith("timestamp") else "1970-01-01" if simple == "date" else 0
 
 
-def _store_chunks(store: VersionStore, meta: dict[str, Any], path: str, rows: DataFrame, axes: int, keep: DataFrame | None) -> str:
-    """Add unknown chunks to the pool as a part, and write a manifest of rows and of what is kept; the manifest's folder."""
+def _store_chunks(store: VersionStore, meta: dict[str, Any], path: str, rows: DataFrame, axes: int, keep: DataFrame | None, keep_fill: bool = False) -> str:
+    """Add unknown chunks to the pool as a part, and write a manifest of rows and of what is kept; the manifest's folder.
+
+    Of what is kept, chunks that rows have too go. Rows that hold fill only are not stored unless keep_fill is set. The
+    plan behind rows runs once: they and their digests are written aside first.
+    """
     spec, c = meta["datasets"][path], C.names("c", axes)
-    hashed = C.hash_chunks(rows, exact=True)
+    blank = F.lit(False) if keep_fill else ~F.exists("cells", lambda x: ~x.eqNullSafe(C.filler(spec["fill"], spec["dtype"])))
+    hashed = C.hash_chunks(rows.select(*c, "extent", "cells"), exact=True).withColumn("blank", blank)
     staged = f"staging/{uuid.uuid4().hex}"
-    hashed.write.parquet(f"{store.root}/{staged}")  # digests are computed once
-    hashed = store.spark.read.schema(hashed.schema).parquet(f"{store.root}/{staged}")
+    hashed.write.parquet(f"{store.root}/{staged}")
+    all_ = store.spark.read.schema(hashed.schema).parquet(f"{store.root}/{staged}")
+    hashed = all_.where("not blank").drop("blank")
+    keep = keep if keep is None else keep.join(all_.select(*c), c, "left_anti").select(*c, "extent", "chunk_hash", "part")
     part, seen = uuid.uuid4().hex, Observation()
     placed = hashed.withColumn("part", F.lit(part))
     if spec["pool"]:
@@ -730,12 +737,8 @@ class Stage:
         for path, (rows, all_) in self.staged.items():
             entry, spec = self.entries[path], self.meta["datasets"][path]
             n = len(entry["shape"])
-            c = C.names("c", n)
-            kept = None
-            if not all_ and entry["manifest"]:
-                kept = self._committed(path).manifest().where(self._visible(path)).join(rows.select(*c), c, "left_anti").select(*c, "extent", "chunk_hash", "part")
-            full = rows if entry.pop("keep_fill", False) else rows.where(F.exists("cells", lambda x: ~x.eqNullSafe(C.filler(spec["fill"], spec["dtype"]))))
-            entry["manifest"] = _store_chunks(self.store, self.meta, path, full, n, kept)
+            kept = self._committed(path).manifest().where(self._visible(path)) if not all_ and entry["manifest"] else None
+            entry["manifest"] = _store_chunks(self.store, self.meta, path, rows, n, kept, entry.pop("keep_fill", False))
         for entry in self.entries.values():
             entry.pop("least", None)
             entry.pop("keep_fill", None)
