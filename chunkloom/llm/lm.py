@@ -9,7 +9,7 @@ matrix products gives the log-probabilities of all classes after all pairs of cl
 
 All tokens of all training texts train the model, as contexts and as targets. Each task runs noise-contrastive
 estimation in numpy over its own texts, with noise words drawn from the classes' shares, and the tasks' parameters are
-averaged by their numbers of tokens; a second round starts from the average. Counts of all distinct words are a table
+averaged by their numbers of tokens; further rounds, if there are any, start from the average. Counts of all distinct words are a table
 that grows with the corpus; texts meet the counts of words that are not frequent in a join (see `rare`).
 """
 
@@ -31,7 +31,7 @@ from chunkloom.llm._common import batches, held_by_worker, held_out, release, se
 #: Classes besides the end: words of their own, endings of their own (bytes in an ending), and classes for other endings.
 SINGLES, ENDINGS, LETTERS, SPREAD = 255, 240, 3, 16
 #: Size of vectors, noise words a batch, tokens a batch, rounds over the corpus, and step size.
-DIMENSIONS, NOISE, BATCH, ROUNDS, RATE = 24, 32, 2048, 2, 0.1
+DIMENSIONS, NOISE, BATCH, ROUNDS, RATE = 24, 32, 2048, 1, 0.1
 LN10 = float(np.log(10))
 
 
