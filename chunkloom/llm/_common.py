@@ -36,7 +36,7 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chunkloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _ours:
         atexit.register(_tidy)
     _ours.add(path)

@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkloom.llm._common import release, settle
+
 #: A word is frequent if it has this share of all words.
 SHARE = 1 / 1_000_000
 #: A block ends with the text that brings it to so many characters, or so many distinct words that are not frequent.
@@ -109,7 +111,8 @@ def sums(rare: DataFrame, table: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, width * len(u) + 1, width, dtype=np.int32)), pa.array(t.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(u), lists], ["uid", "sums"])
 
-    met = rare.join(table.select("h", "x"), "h").select("block", "texts", "x")
+    met = settle(rare.join(table.select("h", "x"), "h").select("block", "texts", "x"), "met")
+    release(rare.sparkSession)  # the first shuffle goes before the second comes
     return met.repartition("block").mapInArrow(add, "uid long, sums array<double>")
 
 
