@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,12 @@ def _tidy() -> None:
         pass
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """docs with columns k0, k1, ..., which clash with nothing, and what a column of docs is called there."""
+    at = {c.lower(): f"k{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*[f"k{i}" for i in range(len(docs.columns))]), lambda name: at[name.lower()]
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(name), F.lit(""))

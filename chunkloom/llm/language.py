@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm import rare
-from chunkloom.llm._common import batches, held_out, release, settle
+from chunkloom.llm._common import batches, held_out, plain, release, settle
 
 LONGEST = 4
 #: Cost, in powers of ten, of a word or n-gram that a language lacks but another has; no cost is higher.
@@ -280,14 +280,16 @@ def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "tex
     """Rows whose text is in one of the model's languages, with at least this posterior probability; all columns as they are.
 
     Null and empty texts go. Repeated rows stay or go together, since the verdict is on the text: texts that go are told
-    by their digest, and rows are not shuffled unless those texts are very many. An empty table stays empty.
+    by their digest, and rows are not shuffled unless those texts are very many. An empty table stays empty. Columns may
+    have any names.
     """
     if not model.languages:
         return docs.where(F.lit(False))
-    text = F.col(f"`{text_col}`").cast("string")
     lang, score = _judged(model.languages)
-    gone = _totals(docs, model, [], text).where((lang == "und") | (score < least)).select(F.col("md5").alias("_md5")).distinct()
-    return docs.join(settle(gone, "rejected"), F.md5(F.coalesce(text, F.lit(""))) == F.col("_md5"), "left_anti")
+    gone = _totals(docs, model, [], F.col(f"`{text_col}`").cast("string")).where((lang == "und") | (score < least)).select(F.col("md5").alias("_md5")).distinct()
+    laid, name = plain(docs)
+    text = F.coalesce(F.col(name(text_col)).cast("string"), F.lit(""))
+    return laid.join(settle(gone, "rejected"), F.md5(text) == F.col("_md5"), "left_anti").toDF(*docs.columns)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

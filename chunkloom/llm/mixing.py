@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from chunkloom.llm._common import batches, settle
+from chunkloom.llm._common import batches, plain, settle
 from chunkloom.llm.sharding import permute
 
 BLOCK_WORDS = 64
@@ -179,10 +179,12 @@ def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
 
     A pass that takes a whole document keeps its text as it is; pieces of one are joined by a line break. n_chars, where
     docs has it, follows the new text. Rows with equal ids are told apart by checksum, so repeated rows stay separate.
+    Texts without words, null ones and an empty table give no row; columns may have any names.
     """
-    names = docs.columns
+    laid, name = plain(docs)
+    own = name(text_col)
     turn = Window.partitionBy("_id", "_crc").orderBy(F.lit(0))  # rows equal in both are interchangeable
-    left = docs.withColumns({"_id": F.col(id_col).cast("long"), "_crc": F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))}).withColumn("_turn", F.row_number().over(turn))
+    left = laid.withColumns({"_id": F.col(name(id_col)).cast("long"), "_crc": F.crc32(F.coalesce(F.col(own), F.lit("")).cast("binary"))}).withColumn("_turn", F.row_number().over(turn))
     right = (
         mixed.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "ranges", F.col("size").alias("_size"), "taken")
         .withColumn("_turn", F.row_number().over(turn)).where("taken > 0")
@@ -209,6 +211,8 @@ def materialise(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
             out.append("\n".join(raw[at[s["from"]][0] : at[s["to"] - 1][1]].decode() for s in spans))
         return pd.Series(out)
 
-    text = each.withColumn("_new", cut(F.col(text_col), F.col("_size"), F.col("_mine")))
-    made = {text_col: F.col("_new")} | ({"n_chars": F.char_length("_new").cast("long")} if "n_chars" in names else {})
-    return text.select(*[made.get(c, F.col(c)).alias(c) for c in names])
+    made = {own: F.col("_new")}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        made[name("n_chars")] = F.char_length("_new").cast("long")
+    text = each.withColumn("_new", cut(F.col(own).cast("string"), F.col("_size"), F.col("_mine")))
+    return text.select(*[made.get(c, F.col(c)).alias(c) for c in laid.columns]).toDF(*docs.columns)

@@ -471,13 +471,26 @@ def test_signatures_meet():
 
 
 def test_rows_without_ids(spark):
-    """Near copies of which none has an id still find each other, and stay."""
+    """Near copies of which none has an id still find each other; one of each group stays, one with an id if it can be."""
     words = [f"w{i}" for i in range(80)]
     texts = [" ".join(words), " ".join(words[:-1] + ["x"]), " ".join(words[:-1] + ["y"]), "something else here now"]
     df = spark.createDataFrame([(None, t) for t in texts] + [(7, " ".join(words[:-1] + ["z"]))], "doc_id long, text string")
     assert {r["component_id"] for r in ngram_join.near_duplicates(df, 3, (90, 100)).where("n_shingles > 2").collect()} == {7}
     assert [r["component_id"] for r in ngram_join.near_duplicates(df, 3, (90, 100)).collect()].count(7) == 4
-    assert ngram_join.drop_near_duplicates(df, 3, (90, 100)).count() == 5
+    kept = lambda rows: sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.drop_near_duplicates(rows, 3, (90, 100)).collect())
+    assert kept(df) == [(0, texts[3]), (7, " ".join(words[:-1] + ["z"]))]
+    assert [t in texts[:3] for _, t in kept(df.where("doc_id is null").unionByName(df.where("doc_id is null")))].count(True) == 1
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that the operators use inside are the rows' own business."""
+    taken = ["_id", "_md5", "_crc", "_turn", "_size", "_pass", "_mine", "_new", "_told", "_h1", "_n", "_stays", "k0", "k1", "row", "a.b"]
+    rows = spark.createDataFrame([(i // 2, f"the words of text {i // 4} go on and on here", "en", "s") for i in range(12)], "doc_id long, text string, lang string, source string")
+    rows = rows.withColumns({c: F.lit(c) for c in taken})
+    mixed = mixing.materialise(rows, mixing.mix(rows))
+    for out in (language.keep_known(rows, language.train(rows), 0.0), ngram_join.drop_near_duplicates(rows), mixed):
+        got = out.collect()
+        assert out.columns == rows.columns and got and all([r[c] for c in taken] == taken for r in got)
 
 
 def test_joined_odd(odd, empty):
