@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 A source's words lie in seeded random document order, cut into shards and each shard into equal blocks. Blocks are the
-seats: sources get theirs by highest quotient target / (2s + 1), then each source's shards share its seats in the same
-way. Within a shard every block is taken quota div blocks times, and a seeded permutation picks those taken once more.
+seats: sources get theirs by highest quotient target / (2s + 1), the target counted in the source's own blocks (shorter
+where it has few words), then each source's shards share its seats in the same way. Within a shard every block is taken quota div blocks times, and a seeded permutation picks those taken once more.
 """
 
 from __future__ import annotations
@@ -127,17 +127,19 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     about = spark.createDataFrame([(i, s, z, t, max(1, -(-z // shard_words))) for i, (s, z, t) in enumerate(zip(names, sizes, wanted, strict=True))], "source_no int, _source string, source_size long, target double, shards long")
     placed = (
         counted.join(F.broadcast(about), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        .withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
+        .withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "crc", "size"))
         .withColumn("shard", F.pmod(F.col("key"), F.col("shards")))
     )
     by_shard: dict[int, list[tuple[int, int]]] = {}
     for r in placed.groupBy("source_no", "shard").agg(F.sum("size").alias("size")).collect():
         by_shard.setdefault(r["source_no"], []).append((r["shard"], r["size"]))
     blocks = {i: [max(1, -(-z // block_words)) if z else 0 for _, z in sorted(x)] for i, x in by_shard.items()}
-    seats = apportion(wanted, round(sum(wanted) / block_words), [int(most * sum(blocks.get(i, []))) for i in range(len(names))])
+    held = [sum(blocks.get(i, [])) for i in range(len(names))]
+    votes = [t * b / z if z else 0.0 for t, b, z in zip(wanted, held, sizes, strict=True)]  # targets in blocks, which small sources have shorter
+    seats = apportion(votes, round(sum(votes)), [int(most * b) for b in held])
     units, keys = {}, []
     for i, x in sorted(by_shard.items()):
-        quota = apportion([float(z) for _, z in sorted(x)], seats[i], [int(most * b) for b in blocks[i]])
+        quota = apportion([float(b) for b in blocks[i]], seats[i], [int(most * b) for b in blocks[i]])
         for (shard, z), b, q in zip(sorted(x), blocks[i], quota, strict=True):
             units[len(keys)] = (z, b, q)
             keys.append((i, shard, len(keys)))

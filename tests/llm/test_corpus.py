@@ -581,6 +581,12 @@ def test_targets_stop_and_pass_on():
     assert mixing.targets([0, 0], [1.0, 1.0]) == [0.0, 0.0] and mixing.targets([], []) == []
 
 
+def test_sources_smaller_than_a_block_get_their_words(spark):
+    rows = [(i, " ".join(["w"] * 20), f"s{i:03}") for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r["taken"] for r in got) == 6000 and all(abs(r["taken"] - r["target"]) <= 20 for r in got)
+
+
 def test_mixture(odd, docs, empty):
     for df in (odd, docs):
         got = mixing.mix(df).collect()
