@@ -5,9 +5,9 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +30,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{found}"
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def _with(spark: SparkSession, settings: dict[str, str]):
+    """The session with other settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def settle(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here, and lost executors cost nothing.
 
-    The table stays until the session ends, since the frames made from it are lazy.
+    The table stays until the session ends, since the frames made from it are lazy. Shuffle files of the write go when it
+    ends. With batch, Arrow's batches have so many rows at most, for wide rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chunkloom-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch:
+        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
+    with _with(spark, settings):
+        df.write.option("compression", "zstd").parquet(path)
     if not _ours:
         atexit.register(_tidy)
     _ours.add(path)
@@ -47,16 +65,18 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 
 
 def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete settled tables that nothing will read again, and let Spark delete shuffle files that no frame refers to.
+    """Delete settled tables that nothing will read again (those already gone are passed over), and let Spark delete
+    broadcasts and shuffle files that no frame refers to; of settled tables there are none of the latter.
 
     Spark finds those when the driver's JVM collects garbage, which a driver with little to do may not need for long.
     """
     for table in tables:
+        if table._settled_at not in _ours:
+            continue
         where = spark._jvm.org.apache.hadoop.fs.Path(table._settled_at)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _ours.discard(table._settled_at)
     gc.collect()
-    time.sleep(1.5)  # frames that Python let go are let go in the JVM by a thread that looks once a second
     spark._jvm.System.gc()
 
 
@@ -128,6 +148,16 @@ def held_by_worker(key, make):
     return _held[key]
 
 
+def let_go() -> None:
+    """Drop what the worker holds, for operators that hold nothing themselves."""
+    if _held:
+        import pyarrow as pa
+
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def batches(column, most_chars: int = 2_000_000):
     """Slices of an Arrow string column, as (offset, list of str), of about so many characters or one long text."""
     values, begin, n = column, 0, len(column)

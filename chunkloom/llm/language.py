@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import regex
@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkloom.llm import rare
-from chunkloom.llm._common import batches, held_out, plain, release, settle
+from chunkloom.llm._common import batches, held_out, let_go, plain, release, settle
 
 LONGEST = 4
 #: Cost, in powers of ten, of a word or n-gram that a language lacks but another has; no cost is higher.
 ABSENT = 7.0
+#: Rows of whole texts that a worker takes at a time.
+WIDE = 2_000
 #: A word: a run of letters and the marks on them.
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
@@ -46,6 +48,7 @@ def count_pieces(docs: DataFrame) -> DataFrame:
     def count(parts):
         import pyarrow as pa
 
+        let_go()
         kept: defaultdict[str | None, Counter] = defaultdict(Counter)
 
         def out():
@@ -99,7 +102,7 @@ def _costs(c: Column, lang: Column, totals: dict[str, int], languages: list[str]
 @dataclass
 class Model:
     """Languages; costs by language of all words (word, x) and n-grams (n, gram, x) that teach; and, for the texts in
-    docs, the costs of pieces (h, x), frequent ones (piece to x) apart."""
+    docs, the costs of pieces (h, x), frequent ones (piece to x) apart. These lie in settled tables until `forget`."""
 
     languages: list[str]
     words: DataFrame | None = None
@@ -107,12 +110,23 @@ class Model:
     docs: DataFrame | None = None
     pieces: DataFrame | None = None
     frequent: dict[str, list[float]] | None = None
+    tables: list[DataFrame] = field(default_factory=list)
 
 
-def word_costs(words: DataFrame, model: Model) -> DataFrame:
-    """word, x for distinct words: by the word itself, or else the mean over its longest n-grams that are known, or else ABSENT."""
+def forget(model: Model) -> None:
+    """Delete the model's tables, which nothing will read again: what `keep_known` returns does not."""
+    if model.tables:
+        release(model.tables[0].sparkSession, *model.tables)
+
+
+def word_costs(words: DataFrame, model: Model, used: list[DataFrame]) -> DataFrame:
+    """word, x for distinct words: by the word itself, or else the mean over its longest n-grams that are known, or else ABSENT.
+
+    The settled tables that the result reads are put into used.
+    """
     known = words.join(model.words, "word")
     rest = settle(words.join(model.words.select("word"), "word", "left_anti"), "unknown")
+    used.append(rest)
     wide = len(model.languages)
     out = known
     for n in range(LONGEST, 0, -1):
@@ -131,16 +145,17 @@ def word_costs(words: DataFrame, model: Model) -> DataFrame:
         found = settle(found.groupBy("word").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(wide)]).alias("x")), "backed-off")
         out = out.unionByName(found)
         rest = settle(rest.join(found.select("word"), "word", "left_anti"), "unknown")
+        used += [found, rest]
     return out.unionByName(rest.select("word", F.array(*[F.lit(ABSENT)] * wide).alias("x")))
 
 
-def piece_costs(pieces: DataFrame, model: Model) -> DataFrame:
+def piece_costs(pieces: DataFrame, model: Model, used: list[DataFrame]) -> DataFrame:
     """piece, x for distinct pieces that tell languages apart: their words' costs by language, added up, less the least.
 
-    Pieces whose costs are the same in all languages change no verdict and no posterior, and are left out.
+    The settled tables that the result reads are put into used. Pieces whose costs are the same in all languages change no verdict and no posterior, and are left out.
     """
     parts = pieces.select("piece", F.explode(F.regexp_extract_all("piece", F.lit(WORD), F.lit(0))).alias("word"))
-    costs = word_costs(parts.select("word").distinct(), model)
+    costs = word_costs(parts.select("word").distinct(), model, used)
     wide = len(model.languages)
     added = parts.join(costs, "word").groupBy("piece").agg(F.array(*[F.sum(F.col("x")[k]) for k in range(wide)]).alias("x"))
     return added.where(F.array_max("x") > F.array_min("x")).select("piece", F.transform("x", lambda v: (v - F.array_min("x")).cast("float")).alias("x"))
@@ -154,13 +169,14 @@ def train(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
     spark = docs.sparkSession
     lang = F.col(f"`{lang_col}`").cast("string")
     slim = docs.select((lang if teaches is None else F.when(teaches, lang)).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counts = settle(count_pieces(slim), "pieces")
+    counts = settle(count_pieces(slim), "pieces", WIDE)
     words = counts.where("lang is not null").select("lang", F.explode(F.regexp_extract_all("piece", F.lit(WORD), F.lit(0))).alias("word"), "c")
     words = settle(words.groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
     grams = settle(count_grams(words), "grams")
     of_words = {r["lang"]: r["c"] for r in words.groupBy("lang").agg(F.sum("c").alias("c")).collect()}
     languages = sorted(of_words)
     if not languages:
+        release(spark, counts, words, grams)
         return Model([])
     of_grams = {(r["lang"], r["n"]): r["c"] for r in grams.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     model = Model(languages, docs=docs)
@@ -168,6 +184,7 @@ def train(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
     by_n = [grams.where(F.col("n") == n).groupBy("n", "gram").agg(_costs(F.col("c"), F.col("lang"), {x: of_grams.get((x, n), 1) for x in languages}, languages).alias("x")) for n in range(1, LONGEST + 1)]
     model.grams = settle(by_n[0].unionByName(by_n[1]).unionByName(by_n[2]).unionByName(by_n[3]), "gram-costs")
     release(spark, words, grams)
+    model.tables = [model.words, model.grams]
     return _covering(model, docs, counts)
 
 
@@ -175,15 +192,16 @@ def _covering(model: Model, docs: DataFrame, counts: DataFrame) -> Model:
     """The model with costs for all pieces in counts, which are of docs."""
     total = counts.agg(F.sum("c")).first()[0] or 0
     each = counts.groupBy("piece").agg(F.sum("c").alias("c"))
-    often = {r["piece"] for r in each.where(F.col("c") >= total * rare.SHARE).select("piece").collect()}
+    used = [settle(each.where(F.col("c") >= total * rare.SHARE).select("piece"), "often")]
+    often = {r["piece"] for r in used[0].collect()}
     spark = docs.sparkSession
     mine = F.broadcast(spark.createDataFrame([(p,) for p in often], "piece string").withColumn("often", F.lit(True)))
-    costs = piece_costs(each.select("piece"), model).join(mine, "piece", "left")
+    costs = piece_costs(each.select("piece"), model, used).join(mine, "piece", "left")
     costs = settle(costs.select(F.when(F.col("often"), F.col("piece")).alias("piece"), rare.hashed("piece").alias("h"), "x"), "piece-costs")
     picked = costs.where("piece is not null").select("piece", "x").collect()
     frequent = dict.fromkeys(often, [0.0] * len(model.languages)) | {r["piece"]: list(r["x"]) for r in picked}
-    release(spark, counts)
-    return Model(model.languages, model.words, model.grams, docs, costs.where("piece is null").select("h", "x"), frequent)
+    release(spark, counts, *used)
+    return Model(model.languages, model.words, model.grams, docs, costs.where("piece is null").select("h", "x"), frequent, [*model.tables, costs])
 
 
 class _Frequent:
@@ -194,10 +212,14 @@ class _Frequent:
         self.costs = np.array([[0.0] * wide, *(frequent[p] for p in self.order)])
 
 
-def _totals(docs: DataFrame, model: Model, keep: list[tuple[str, Column]], text: Column) -> DataFrame:
-    """The columns of keep, md5 of the text, whether it has a word, and x: its pieces' costs by language, added up."""
+def _totals(docs: DataFrame, model: Model, keep: list[tuple[str, Column]], text: Column, used: list[DataFrame]) -> DataFrame:
+    """The columns of keep, md5 of the text, whether it has a word, and x: its pieces' costs by language, added up.
+
+    The settled tables that the result reads, and no model's, are put into used.
+    """
+    told_before = model
     if model.docs is not docs:
-        model = _covering(model, docs, settle(count_pieces(docs.select(F.lit(None).cast("string").alias("lang"), text.alias("text"))), "pieces"))
+        model = _covering(model, docs, settle(count_pieces(docs.select(F.lit(None).cast("string").alias("lang"), text.alias("text"))), "pieces", WIDE))
     wide = len(model.languages)
     told = docs.sparkSession.sparkContext.broadcast(_Frequent(model.frequent, wide))
     kept = [(f"k{i}", c) for i, (_, c) in enumerate(keep)]
@@ -208,6 +230,7 @@ def _totals(docs: DataFrame, model: Model, keep: list[tuple[str, Column]], text:
     def scan(parts):
         import pyarrow as pa
 
+        let_go()
         s = told.value
         blocks = rare.Blocks(s.order)
         names = [*mine, "md5", "some", "uid", "x", "h", "block", "texts"]
@@ -246,9 +269,10 @@ def _totals(docs: DataFrame, model: Model, keep: list[tuple[str, Column]], text:
             yield from out()
 
     schema = ", ".join([*fields, "md5 string, some boolean, uid long, x array<double>", rare.SCHEMA])
-    laid = settle(slim.mapInArrow(scan, schema), "costed")
-    release(docs.sparkSession)
-    more = rare.sums(laid.where("h is not null").select("h", "block", "texts"), model.pieces, wide)
+    laid = settle(slim.mapInArrow(scan, schema), "costed", WIDE)
+    used.append(laid)
+    more = rare.sums(laid.where("h is not null").select("h", "block", "texts"), model.pieces, wide, used)
+    release(docs.sparkSession, *[t for t in model.tables if t not in told_before.tables])
     summed = laid.where("uid is not null").drop("h", "block", "texts").join(more, "uid", "left")
     x = F.when(F.col("sums").isNull(), F.col("x")).otherwise(F.zip_with("x", "sums", lambda a, b: a + b))
     return summed.select(*[F.col(c).alias(n) for (c, _), (n, _) in zip(kept, keep, strict=True)], F.col("md5"), F.col("some"), x.alias("x"))
@@ -271,7 +295,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     keep = docs.columns if keep is None else keep
     if not model.languages:
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    told = _totals(docs, model, [(f"_k{i}", F.col(f"`{c}`")) for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string"))
+    told = _totals(docs, model, [(f"_k{i}", F.col(f"`{c}`")) for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string"), [])
     lang, score = _judged(model.languages)
     return told.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], lang.alias("lang_pred"), score.alias("score"))
 
@@ -286,10 +310,13 @@ def keep_known(docs: DataFrame, model: Model, least: float, text_col: str = "tex
     if not model.languages:
         return docs.where(F.lit(False))
     lang, score = _judged(model.languages)
-    gone = _totals(docs, model, [], F.col(f"`{text_col}`").cast("string")).where((lang == "und") | (score < least)).select(F.col("md5").alias("_md5")).distinct()
+    used: list[DataFrame] = []
+    gone = _totals(docs, model, [], F.col(f"`{text_col}`").cast("string"), used).where((lang == "und") | (score < least)).select(F.col("md5").alias("_md5")).distinct()
+    gone = settle(gone, "rejected")
+    release(docs.sparkSession, *used)
     laid, name = plain(docs)
     text = F.coalesce(F.col(name(text_col)).cast("string"), F.lit(""))
-    return laid.join(settle(gone, "rejected"), F.md5(text) == F.col("_md5"), "left_anti").toDF(*docs.columns)
+    return laid.join(gone, F.md5(text) == F.col("_md5"), "left_anti").toDF(*docs.columns)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

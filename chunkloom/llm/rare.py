@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkloom.llm._common import release, settle
+from chunkloom.llm._common import settle
 
 #: A word is frequent if it has this share of all words.
 SHARE = 1 / 1_000_000
@@ -82,8 +82,11 @@ class Blocks:
         return out
 
 
-def sums(rare: DataFrame, table: DataFrame, width: int) -> DataFrame:
-    """uid, sums (so many) for texts with rows in rare, of x in table (h, x: array of so many numbers); words without x add nothing."""
+def sums(rare: DataFrame, table: DataFrame, width: int, used: list[DataFrame] | None = None) -> DataFrame:
+    """uid, sums (so many) for texts with rows in rare, of x in table (h, x: array of so many numbers); words without x add nothing.
+
+    Of the tables settled meanwhile, those that the result reads are put into used.
+    """
 
     def add(parts):
         import pyarrow as pa
@@ -112,7 +115,8 @@ def sums(rare: DataFrame, table: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u), lists], ["uid", "sums"])
 
     met = settle(rare.join(table.select("h", "x"), "h").select("block", "texts", "x"), "met")
-    release(rare.sparkSession)  # the first shuffle goes before the second comes
+    if used is not None:
+        used.append(met)
     return met.repartition("block").mapInArrow(add, "uid long, sums array<double>")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunkloom.llm import bpe, fingerprints, language, lm, mixing, ngram_join, pii, quality, sharding, token_counts
+from chunkloom.llm import _common, bpe, fingerprints, language, lm, mixing, ngram_join, pii, quality, sharding, token_counts
 from chunkloom.llm._common import numbered
 from tests.llm.conftest import ODD
 
@@ -625,6 +625,23 @@ def test_pipeline_stages(spark, data, docs, odd, empty):
     assert P.run(spark, data).where("not exact").count() == 0
 
 
+def test_stages_leave_no_working_tables(spark, data, docs):
+    """Of what a stage settles, only what its lazy rows read stays: a later stage has the disk for itself."""
+    import corpus_pipeline as P
+
+    stages, few = dict(P.STAGES), docs.limit(60)
+    for name, stays in (("identify_language", {"rejected"}), ("drop_near_duplicates", {"dropped", "keepers", "edges", "groups"})):
+        before = set(_common._ours)
+        out = stages[name](spark, few, data)
+        assert {x.rsplit("chunkloom-", 1)[1][:-33] for x in _common._ours - before} <= stays
+        assert out.count()
+
+
+def test_sets_alike_in_half_their_digest_are_compared(spark):
+    reps = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 8, 1)], "rep long, h1 long, h2 long")
+    assert [tuple(r) for r in ngram_join._twins(reps).collect()] == [(1, 2)]
+
+
 def test_queries_cover_all_operators():
     from chunkloom.llm import queries
 
