@@ -35,6 +35,11 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 #: No piece crosses from other characters to white space, so text can be cut there and the parts looked up whole.
 PART = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
 
+#: Where a node of the trie has its token, beside its children's bytes.
+END = 256
+#: Pairs of tokens whose arcs a worker remembers; parts of texts that it remembers, up to twice as many, and half as many words.
+KEPT_ARCS, KEPT = 100_000, 200_000
+
 
 @cache
 def byte_letters() -> dict[str, int]:
@@ -56,17 +61,20 @@ class Automaton:
         for rank, (u, v, made) in enumerate(gadgets):
             self.born[made], self.left[made], self.right[made] = rank, u, v
             self.cut[u << self.bits | v] = rank
-        self.trie: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        #: A node has its children by byte and, at END, the token whose label leads to it, or -1.
+        self.trie: dict = {END: -1}
+        #: Each token's longest proper prefix that is a label too, or -1.
+        self.shorter = [-1] * n
         used = {t for g in gadgets for t in g} | {t for t, x in enumerate(labels) if len(x) == 1}
-        for token in sorted(used - set(special.values())):
-            node = 0
+        for token in sorted(used - set(special.values()), key=lambda t: len(labels[t])):
+            node = self.trie
             for b in labels[token]:
-                key = node << 8 | b
-                node = self.trie.get(key) or self.trie.setdefault(key, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = token
+                if node[END] >= 0:
+                    self.shorter[token] = node[END]
+                node = node.setdefault(b, {END: -1})
+            node[END] = token
+        self.sizes = [len(x) for x in labels]
+        self.arcs: dict[int, bool] = {}
 
     @classmethod
     def compile(cls, file: bytes) -> Automaton:
@@ -101,28 +109,40 @@ class Automaton:
                 return True
 
     def encode_word(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word: the accepted path, longest arcs tried first."""
-        trie, ends, n = self.trie, self.ends, len(word)
+        """Tokens of one pre-split word: the accepted path, longest arcs tried first.
+
+        The longest label at a byte is found by the trie, the others are its prefixes. Answers of `has_arc` are kept for
+        the pairs met first.
+        """
+        trie, sizes, shorter, arcs, bits, n = self.trie, self.sizes, self.shorter, self.arcs, self.bits, len(word)
         path: list[int] = []
-        at, last, ways = 0, -1, []
-        seen = set()
+        at, last, seen = 0, -1, set()
         while True:
-            found, node = [], 0
-            for i in range(at, n):
-                node = trie.get(node << 8 | word[i], 0)
-                if not node:
+            node, token = trie, -1
+            for b in word[at:]:
+                node = node.get(b)
+                if node is None:
                     break
-                if ends[node] >= 0:
-                    found.append((i + 1, ends[node]))
-            ways.append(found)
+                if node[END] >= 0:
+                    token = node[END]
             while True:
-                while not ways[-1]:
-                    ways.pop()
-                    last = path[-2] if len(path) > 1 else -1
-                    path.pop()
-                stop, token = ways[-1].pop()
-                if stop not in seen and (last < 0 or self.has_arc(last, token)):
-                    break
+                while token < 0:  # nothing goes on from here: try a shorter arc before
+                    token = path.pop()
+                    at -= sizes[token]
+                    token, last = shorter[token], path[-1] if path else -1
+                stop = at + sizes[token]
+                if stop not in seen:
+                    if last < 0:
+                        break
+                    pair = last << bits | token
+                    found = arcs.get(pair)
+                    if found is None:
+                        found = self.has_arc(last, token)
+                        if len(arcs) < KEPT_ARCS:
+                            arcs[pair] = found
+                    if found:
+                        break
+                token = shorter[token]
             seen.add(stop)
             path.append(token)
             if stop == n:
@@ -142,10 +162,30 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class _Known(dict):
+    """What `make` gives for a string, looked up again. When there are `most` they become the old ones, of which those
+    that are met again are taken over, and the old ones before them go."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) < 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
+
+
 class Encoder:
-    """Whole texts to tokens. Parts of texts are kept with their tokens, up to `most` of them, to be looked up again."""
+    """Whole texts to tokens. Parts of texts, and the words in them, are kept with their tokens to be looked up again."""
 
-    def __init__(self, automaton: Automaton, most: int = 600_000):
+    def __init__(self, automaton: Automaton, most: int = KEPT):
         import re
 
         import regex
@@ -154,22 +194,11 @@ class Encoder:
         names = sorted(automaton.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.names = names
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, part: str) -> bytes:
-                ids = outer.encode_part(part)
-                if len(self) < most and len(part) < 64:
-                    self[part] = ids
-                return ids
-
-        self.known = Known()
+        self.words = _Known(lambda word: packed(automaton.encode_word(word.encode())), max(1, most // 2))
+        self.known = _Known(self.encode_part, most)
 
     def encode_part(self, part: str) -> bytes:
-        out: list[int] = []
-        for word in self.split.findall(part):
-            out += self.automaton.encode_word(word.encode())
-        return packed(out)
+        return b"".join(map(self.words.__getitem__, self.split.findall(part)))
 
     def encode(self, text: str) -> bytes:
         """Token ids of a text, as little-endian unsigned 32-bit integers."""

@@ -236,6 +236,18 @@ def test_automaton_of_a_small_vocabulary():
             assert automaton.encode_word(w) == merged(w)
 
 
+def test_parts_met_late_are_remembered_too():
+    """What a worker keeps is bounded, and follows the texts instead of holding what came first."""
+    encoder = bpe.Encoder(bpe.Automaton([bytes([b]) for b in range(256)], [], {}), most=10)
+    texts = [f"w{i}" for i in range(100)]
+    assert [list(encoder.encode(t)[::4]) for t in texts] == [list(t.encode()) for t in texts]
+    tried, one = [], encoder.automaton.encode_word
+    encoder.automaton.encode_word = lambda word: tried.append(word) or one(word)
+    assert encoder.encode("late late late") == bpe.packed(list(b"late late late"))
+    assert tried == [b"late", b" late"]
+    assert len(encoder.known) <= 10 and len(encoder.known.old) <= 10
+
+
 def test_token_counts_and_their_cache(spark, tokenizer, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
