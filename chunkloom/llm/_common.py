@@ -149,7 +149,7 @@ def held_by_worker(key, make):
 
 
 def let_go() -> None:
-    """Drop what the worker holds, for operators that hold nothing themselves."""
+    """Drop what the worker holds: for operators that hold nothing themselves, and at the end of tasks that need it no more."""
     if _held:
         import pyarrow as pa
 

@@ -673,3 +673,25 @@ def test_sql_gives_the_same_rows(spark, data):
         columns = sorted(mine.columns)
         assert sorted(theirs.columns) == columns
         assert sorted(mine[columns].itertuples(index=False, name=None)) == sorted(theirs[columns].itertuples(index=False, name=None))
+
+
+def _held_by_workers(spark):
+    """What Python workers still hold, seen from as many tasks as run at a time, and a few more."""
+
+    def look(parts):
+        import time
+
+        import pyarrow as pa
+
+        for _ in parts:
+            time.sleep(0.2)
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in _common._held], pa.string())], ["key"])
+
+    return {r["key"] for r in spark.range(0, 16, 1, 16).mapInArrow(look, "key string").collect()}
+
+
+def test_near_duplicates_leave_nothing_in_workers(spark):
+    rows = [(i, f"some words that {i // 2} documents share with one another, and more of them", "en", "a", 1) for i in range(40)] + [(None, "no id but words", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert ngram_join.drop_near_duplicates(docs).count() == 21
+    assert _held_by_workers(spark) == set()
