@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 #: ASCII white space, which parts words in every contract of this folder.
 BLANK = r"\x20\x09-\x0D"
 
+#: Working tables on local disks have no checksum files. Hadoop starts a `chmod` for each file that it makes there, and
+#: until such a process has its own program, it is read as having its JVM's whole memory too.
+BARE = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _ours: set[str] = set()
 
 
@@ -55,7 +59,7 @@ def settle(df: DataFrame, tag: str, batch: int | None = None) -> DataFrame:
     if batch:
         settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(batch)
     with _with(spark, settings):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **BARE).parquet(path)
     if not _ours:
         atexit.register(_tidy)
     _ours.add(path)

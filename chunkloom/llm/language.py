@@ -93,7 +93,7 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "c").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
 
 
-def _costs(c: Column, lang: Column, totals: dict[str, int], languages: list[str]) -> Column:
+def _costs(c: Column, lang: Column, totals: dict[str, int | Column], languages: list[str]) -> Column:
     """An aggregate: by language, the cost of what a group of rows counts."""
     each = [F.sum(F.when(lang == x, c)) for x in languages]
     return F.array(*[F.least(F.lit(ABSENT), F.coalesce(-F.log10(n / totals.get(x, 1)), F.lit(ABSENT))) for x, n in zip(languages, each, strict=True)])
@@ -124,29 +124,37 @@ def word_costs(words: DataFrame, model: Model, used: list[DataFrame]) -> DataFra
 
     The settled tables that the result reads are put into used.
     """
-    known = words.join(model.words, "word")
+    wide = len(model.languages)
     rest = settle(words.join(model.words.select("word"), "word", "left_anti"), "unknown")
     used.append(rest)
-    wide = len(model.languages)
-    out = known
-    for n in range(LONGEST, 0, -1):
-        if rest.isEmpty():
-            return out
+    out = words.join(model.words, "word")
 
-        def spell(parts, n=n):
+    def backed_off(rest, lengths):
+        """word, n, x: the mean over the n-grams that are known, or else nulls."""
+
+        def spell(parts):
             import pyarrow as pa
 
             for part in parts:
-                grams = [grams_of(w, n) for w in part.column("word").to_pylist()]
-                at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-                yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(at)), pa.array([g for x in grams for g in x], pa.string())], ["word", "gram"])
-
-        found = rest.mapInArrow(spell, "word string, gram string").join(model.grams.where(F.col("n") == n).select("gram", "x"), "gram")
-        found = settle(found.groupBy("word").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(wide)]).alias("x")), "backed-off")
-        out = out.unionByName(found)
-        rest = settle(rest.join(found.select("word"), "word", "left_anti"), "unknown")
-        used += [found, rest]
-    return out.unionByName(rest.select("word", F.array(*[F.lit(ABSENT)] * wide).alias("x")))
+                for n in lengths:
+                    # a word without an n-gram is spelled by itself, which is none that is known
+                    grams = [grams_of(w, n) or [w] for w in part.column("word").to_pylist()]
+                    at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+                    yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(at)), pa.array(np.full(len(at), n, np.int32)), pa.array([g for x in grams for g in x], pa.string())], ["word", "n", "gram"])
+
+        met = rest.mapInArrow(spell, "word string, n int, gram string").join(model.grams.where(F.col("n").isin(lengths)), ["n", "gram"], "left")
+        return met.groupBy("word", "n").agg(F.array(*[F.avg(F.col("x")[k]) for k in range(wide)]).alias("x"))
+
+    # nearly all words have a known n-gram of the longest; the few others try all shorter ones at once, with fewer tables
+    if not rest.isEmpty():
+        longest = settle(backed_off(rest, [LONGEST]), "backed-off")
+        used.append(longest)
+        out = out.unionByName(longest.where(F.col("x")[0].isNotNull()).select("word", "x"))
+        rest = longest.where(F.col("x")[0].isNull()).select("word")
+    if not rest.isEmpty():
+        shorter = backed_off(rest, list(range(1, LONGEST))).groupBy("word").agg(F.max_by("x", F.when(F.col("x")[0].isNotNull(), F.col("n"))).alias("x"))
+        out = out.unionByName(shorter.select("word", F.coalesce("x", F.array(*[F.lit(ABSENT)] * wide)).alias("x")))
+    return out
 
 
 def piece_costs(pieces: DataFrame, model: Model, used: list[DataFrame]) -> DataFrame:
@@ -181,8 +189,8 @@ def train(docs: DataFrame, teaches: Column | None = None, lang_col: str = "lang"
     of_grams = {(r["lang"], r["n"]): r["c"] for r in grams.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect()}
     model = Model(languages, docs=docs)
     model.words = settle(words.groupBy("word").agg(_costs(F.col("c"), F.col("lang"), of_words, languages).alias("x")), "word-costs")
-    by_n = [grams.where(F.col("n") == n).groupBy("n", "gram").agg(_costs(F.col("c"), F.col("lang"), {x: of_grams.get((x, n), 1) for x in languages}, languages).alias("x")) for n in range(1, LONGEST + 1)]
-    model.grams = settle(by_n[0].unionByName(by_n[1]).unionByName(by_n[2]).unionByName(by_n[3]), "gram-costs")
+    totals = {x: F.array(*[F.lit(of_grams.get((x, n), 1)) for n in range(1, LONGEST + 1)])[F.col("n") - 1] for x in languages}
+    model.grams = settle(grams.groupBy("n", "gram").agg(_costs(F.col("c"), F.col("lang"), totals, languages).alias("x")), "gram-costs")
     release(spark, words, grams)
     model.tables = [model.words, model.grams]
     return _covering(model, docs, counts)

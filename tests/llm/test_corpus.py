@@ -183,6 +183,35 @@ def test_language_equals_plain_python(spark, monkeypatch):
     assert kept == {i for i, (lang, score) in got.items() if lang != "und" and score >= 0.9}
 
 
+def test_language_backs_off_with_few_tables_and_files(spark, monkeypatch):
+    """Words whose longest known n-gram has 4, 3, 2, 1 or no letters, by plain Python; and what is written meanwhile."""
+    import glob
+
+    made, sizes = [], {}
+
+    def counted(df, tag, batch=None):
+        out = _common.settle(df, tag, batch)
+        made.append(tag)
+        there = out._settled_at.removeprefix("file://")
+        sizes[tag] = len(glob.glob(f"{there}/part-*")), len(glob.glob(f"{there}/.part-*"))
+        return out
+
+    monkeypatch.setattr(language, "settle", counted)
+    monkeypatch.setattr(language.rare, "settle", counted)
+    taught = [("en", "the weather mattered"), ("en", "quiz a"), ("de", "wetter und zeit"), ("fr", "temps a l\u00e9ger")]
+    asked = ["weathers", "wet", "zet", "uizz", "qzw", "xzx", "\u00e9w", "t", "j", "\u65e5\u672c", "j zet \u65e5 quizzes", "lz \u00e9", "the j"]
+    rows = [(1 + i, t, x) for i, (x, t) in enumerate(taught)] + [(100 + i, t, None) for i, t in enumerate(asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(docs, model).collect()}
+    for (i, _, _), (lang, score) in zip(rows, plain_language(taught, [t for _, t, _ in rows]), strict=True):
+        assert got[i][1] == pytest.approx(score, abs=1e-4)
+        assert got[i][0] == lang or score < 0.5
+    assert len(made) <= 11, made
+    assert sizes["gram-costs"][0] <= 4  # shuffle partitions
+    assert not any(sums for _, sums in sizes.values())
+
+
 def test_language_odd(odd, empty):
     found = by_row(language.identify(odd).select("doc_id", "held_out", "lang_pred", "score"))
     assert len(found) == len(ODD) and sum(r[2] == "und" for r in found) == 3
